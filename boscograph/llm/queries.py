@@ -8,12 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boscograph.functions.text import OTHER, STAND_INS, fold, is_stated, strip
-from boscograph.llm import components, mixing, packing, survivor
+from boscograph.llm import components, consensus, mixing, packing, splitting, survivor
 from boscograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# 2: consensus from several annotators
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "feedback")
+    kind = F.when(F.col("feedback_type") == "relation_type_error", "type").when(F.col("feedback_type") == "relation_direction_error", "direction")
+    said = F.when(F.col("feedback_type") == "relation_type_error", F.col("data.correct_relation")).otherwise(F.col("data.correction.correct_direction"))
+    label = F.when(is_stated(said), F.regexp_replace(fold(said), "[ -]+", "_"))
+    user = F.when(is_stated(F.col("user_id")), F.trim("user_id"))
+    when = F.try_to_timestamp(F.regexp_replace(F.trim("timestamp"), " ", "T"))
+    return consensus.latest(df, kind, F.col("item_id"), user, label, when, F.struct("received_at", "feedback_id"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = consensus.consensus(_answers(spark, sf_dir)).labels
+    best = found.groupBy("item").agg(F.max_by("label", F.struct("n_answers", "task")).alias("label"))
+    return best.select(F.col("item").alias("item_id"), "label")
+
+
+def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(_answers(spark, sf_dir)).users.withColumnRenamed("user", "user_id")
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.krippendorff(_answers(spark, sf_dir))
+
+
 # 3: best representative of each duplicate group
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "merge_candidates")
@@ -69,7 +94,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).report().where("short").select("source")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_best_record, p4_found, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report)}
+# 10: splitting oversized items
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(table(spark, sf_dir, "documents"), "doc_id", "text", 3000, 300)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_best_record, p4_found, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report, p10_found, p10_pieces)}
 
 
 # The same rules said in SQL.
@@ -91,6 +125,16 @@ def _best(value: str, stated: str, name: str) -> str:
 _OTHER = ", ".join(f"'{x}'" for x in OTHER)
 
 SQL: dict[str, str] = {
+    "p2_agreement": f"""
+        with f as (select case feedback_type when 'relation_type_error' then 'type' when 'relation_direction_error' then 'direction' end as task, item_id as item, trim(user_id) as u,
+                          case feedback_type when 'relation_type_error' then data.correct_relation else data.correction.correct_direction end as said, replace(trim("timestamp"), ' ', 'T') as w, received_at, feedback_id from feedback),
+             a as (select task, item, u, regexp_replace({_fold("said")}, '[ -]+', '_', 'g') as label from f where task is not null and item is not null and {_stated("u")} and {_stated("said")}
+                   qualify row_number() over (partition by task, item, u order by w desc, received_at desc, feedback_id desc) = 1),
+             n as (select task, item, label, count(*) as c from a group by all),
+             i as (select task, item, sum(c) as m, sum(c * c) as s from n group by all having sum(c) > 1),
+             t as (select task, count(*) as items, sum(m) as answers, sum((m * m - s) / (m - 1)) as o from i group by task),
+             q as (select task, sum(c * c) as q from (select task, label, sum(c) as c from n join i using (task, item) group by all) group by task)
+        select task, items, answers::bigint as answers, o / answers as observed, (answers * answers - q) / (answers * (answers - 1)) as expected, 1 - (o / answers) / ((answers * answers - q) / (answers * (answers - 1))) as alpha from t join q using (task)""",
     "p3_found": f"""
         with m as (select * from merge_candidates where group_id is not null),
              k as ({_best("trim(keep)", _stated("keep"), "keep")}),
@@ -109,6 +153,7 @@ SQL: dict[str, str] = {
              w(a, b) as (select a, b from l union select w.a, l.b from w join l on l.a = w.b)
         select a as entity, least(a, min(b)) as group_key from w group by a""",
     "p8_found": "select doc_id from documents where strlen(text) > 8192",
+    "p10_found": "select doc_id from documents where strlen(text) > 3000",
     "p9_found": f"""
         with t as (select {_fold("source")} as s, sum(coalesce(target_share, 0)) as share, max(coalesce(max_repeats, 1)) as most from mix_targets where source is not null group by 1),
              n as (select {_fold("source")} as s, sum(coalesce(strlen(text), 0)) as n from documents group by 1),
