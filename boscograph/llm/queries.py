@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boscograph.functions.text import OTHER, STAND_INS, fold, is_stated, strip
-from boscograph.llm import components, consensus, mixing, packing, splitting, survivor
+from boscograph.llm import canonical, components, consensus, mixing, packing, splitting, survivor
 from boscograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("node").alias("entity"), F.col("root").alias("group_key"))
 
 
+# 6: mapping free-entered values to the canonical list
+# The categories' Chinese names.
+ZH_CATEGORY = {"病原": "pathogen", "媒介": "vector", "寄主": "host", "疾病": "disease", "症状": "symptom", "地点": "location", "化合物": "compound", "防治": "treatment", "环境": "environment"}
+
+
+def _category(c: Column) -> Column:
+    own = fold(strip(c))
+    return F.coalesce(*(F.when(own == zh, en) for zh, en in ZH_CATEGORY.items()), own)
+
+
+def p6_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concepts, terms = table(spark, sf_dir, "concepts"), table(spark, sf_dir, "ref_terms")
+    return canonical.canonicalise(concepts, terms, "concept_id", "entity", _category(F.col("category")), _category(F.col("category")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_match(spark, sf_dir).where("term_id is not null and (not exact or choice)").select("concept_id", "term_id")
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_match(spark, sf_dir).where("term_id is null").select("concept_id", "entity", "choice")
+
+
 # 8: filling fixed-capacity containers
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", 8192)
@@ -103,7 +126,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_best_record, p4_found, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report, p10_found, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_best_record, p4_found, p6_found, p6_match, p6_unmatched, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report, p10_found, p10_pieces)}
 
 
 # The same rules said in SQL.
