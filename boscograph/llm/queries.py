@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boscograph.functions.text import OTHER, STAND_INS, fold, is_stated, strip
-from boscograph.llm import canonical, components, consensus, mixing, packing, splitting, survivor
+from boscograph.llm import canonical, components, consensus, mixing, neighbours, packing, splitting, survivor
 from boscograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,17 @@ def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_match(spark, sf_dir).where("term_id is null").select("concept_id", "entity", "choice")
 
 
+# 7: most similar vectors
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar(table(spark, sf_dir, "concept_vectors"), "vec_id", "vector", dim=64, k=5)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p7_neighbours(spark, sf_dir).where("cosine >= 0.85")
+    pairs = near.groupBy(F.least("vec_id", "other").alias("vec_id_a"), F.greatest("vec_id", "other").alias("vec_id_b")).agg(F.count_distinct("vec_id").alias("n"))
+    return pairs.where("n = 2").select("vec_id_a", "vec_id_b")
+
+
 # 8: filling fixed-capacity containers
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", 8192)
@@ -126,7 +137,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_best_record, p4_found, p6_found, p6_match, p6_unmatched, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report, p10_found, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_best_record, p4_found, p6_found, p6_match, p6_unmatched, p7_found, p7_neighbours, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report, p10_found, p10_pieces)}
 
 
 # The same rules said in SQL.
@@ -175,6 +186,12 @@ SQL: dict[str, str] = {
              l as (select distinct x.e as a, y.e as b from n x join n y using (i) where x.e <> y.e),
              w(a, b) as (select a, b from l union select w.a, l.b from w join l on l.a = w.b)
         select a as entity, least(a, min(b)) as group_key from w group by a""",
+    "p7_found": """
+        with v as (select vec_id, vector::double[] as v from concept_vectors where len(vector) = 64),
+             u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from v where list_dot_product(v, v) > 0),
+             t as (select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.v, b.v), 9) as c from u a join u b on a.vec_id <> b.vec_id
+                   qualify row_number() over (partition by a.vec_id order by c desc, b.vec_id) <= 5)
+        select x.a as vec_id_a, x.b as vec_id_b from t x join t y on x.a = y.b and x.b = y.a where x.a < x.b and x.c >= 0.85""",
     "p8_found": "select doc_id from documents where strlen(text) > 8192",
     "p10_found": "select doc_id from documents where strlen(text) > 3000",
     "p9_found": f"""
