@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boscograph.functions.text import OTHER, STAND_INS, fold, is_stated, strip
-from boscograph.llm import canonical, components, consensus, mixing, neighbours, packing, splitting, survivor
+from boscograph.llm import canonical, components, consensus, cooccurrence, mixing, neighbours, packing, splitting, survivor
 from boscograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("node").alias("entity"), F.col("root").alias("group_key"))
 
 
+# 5: items that appear together
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "relationships").select("chunk_id", F.explode(F.array("node_1", "node_2")).alias("node")).where("node is not null")
+    return cooccurrence.together(rows.select("chunk_id", fold(F.col("node")).alias("item")).where("item <> ''"), "chunk_id", "item", least=8, least_lift=8)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pairs(spark, sf_dir).select("item_a", "item_b")
+
+
 # 6: mapping free-entered values to the canonical list
 # The categories' Chinese names.
 ZH_CATEGORY = {"病原": "pathogen", "媒介": "vector", "寄主": "host", "疾病": "disease", "症状": "symptom", "地点": "location", "化合物": "compound", "防治": "treatment", "环境": "environment"}
@@ -137,7 +147,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_best_record, p4_found, p6_found, p6_match, p6_unmatched, p7_found, p7_neighbours, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report, p10_found, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_best_record, p4_found, p5_found, p5_pairs, p6_found, p6_match, p6_unmatched, p7_found, p7_neighbours, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report, p10_found, p10_pieces)}
 
 
 # The same rules said in SQL.
@@ -158,6 +168,13 @@ def _best(value: str, stated: str, name: str) -> str:
 
 _OTHER = ", ".join(f"'{x}'" for x in OTHER)
 
+_PAIRS = f"""
+    with i as (select distinct chunk_id as c, {_fold("n")} as e from (select chunk_id, node_1 as n from relationships union all select chunk_id, node_2 from relationships) where n is not null and chunk_id is not null),
+         k as (select e, count(*) as n from i group by e), t as (select count(distinct c) as n from i),
+         p as (select a.e as item_a, b.e as item_b, count(*) as n_together from i a join i b on a.c = b.c and a.e < b.e group by all having count(*) >= 8),
+         f as (select item_a, item_b, n_together, x.n as n_a, y.n as n_b, t.n as n_records, n_together * t.n::double / x.n / y.n as lift from p join k x on x.e = item_a join k y on y.e = item_b, t where n_together * t.n >= 8 * x.n * y.n)
+    select {{}} from f"""
+
 SQL: dict[str, str] = {
     "p2_agreement": f"""
         with f as (select case feedback_type when 'relation_type_error' then 'type' when 'relation_direction_error' then 'direction' end as task, item_id as item, trim(user_id) as u,
@@ -186,6 +203,8 @@ SQL: dict[str, str] = {
              l as (select distinct x.e as a, y.e as b from n x join n y using (i) where x.e <> y.e),
              w(a, b) as (select a, b from l union select w.a, l.b from w join l on l.a = w.b)
         select a as entity, least(a, min(b)) as group_key from w group by a""",
+    "p5_found": _PAIRS.format("item_a, item_b"),
+    "p5_pairs": _PAIRS.format("*"),
     "p7_found": """
         with v as (select vec_id, vector::double[] as v from concept_vectors where len(vector) = 64),
              u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from v where list_dot_product(v, v) > 0),
