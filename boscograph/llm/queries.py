@@ -8,12 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boscograph.functions.text import OTHER, STAND_INS, fold, is_stated, strip
-from boscograph.llm import canonical, components, consensus, cooccurrence, mixing, neighbours, packing, splitting, survivor
+from boscograph.llm import canonical, components, consensus, cooccurrence, mixing, neighbours, packing, scans, splitting, survivor
 from boscograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# 1: noise in text from scanned pages
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(table(spark, sf_dir, "pdf_extracts"), "extract_id", "cleaned_text")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_repaired(spark, sf_dir).select("extract_id", F.inline("damage"))
+
+
 # 2: consensus from several annotators
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "feedback")
@@ -147,7 +156,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_reliability, p2_agreement, p3_found, p3_best_record, p4_found, p5_found, p5_pairs, p6_found, p6_match, p6_unmatched, p7_found, p7_neighbours, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report, p10_found, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_reliability, p2_agreement, p3_found, p3_best_record, p4_found, p5_found, p5_pairs, p6_found, p6_match, p6_unmatched, p7_found, p7_neighbours, p8_found, p8_pack, p8_fill, p9_found, p9_sample, p9_report, p10_found, p10_pieces)}
 
 
 # The same rules said in SQL.
