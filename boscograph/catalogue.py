@@ -2,22 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from boscograph.plans import documents, graphs, relating
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from boscograph.functions.text import fold
-from boscograph.sources.tables import table
-
-
-def kg_top_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "relationships")
-    a, b = fold(F.col("node_1")), fold(F.col("node_2"))
-    ends = r.select(F.explode(F.array(F.struct(a.alias("name"), b.alias("other")), F.struct(b.alias("name"), a.alias("other")))).alias("x")).select("x.*")
-    degree = ends.where("name is not null and other is not null").groupBy("name").agg(F.count("*").alias("degree"), F.count_distinct("other").alias("n_neighbours"))
-    return degree.orderBy(F.desc("degree"), "name").limit(20)
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"kg_top_degree": kg_top_degree}
-SQL: dict[str, str] = {}
+QUERIES = {**documents.QUERIES, **relating.QUERIES, **graphs.QUERIES}
+SQL = {**documents.SQL, **relating.SQL, **graphs.SQL}

@@ -69,13 +69,13 @@ def cut_references(ls: Column) -> Column:
 def sentences(c: Column, least: int = 5) -> Column:
     """Sentences by the punctuation at their end, followed by a blank; those under `least` characters are dropped."""
     parts = F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), r"(?<=[。！？!?；;.])\s+")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda s: F.length(s) >= least)
 
 
 def basic_sentences(c: Column, least: int, most: int, stop_words: list[str] | None = None) -> Column:
     """Sentences also without a blank after Chinese marks; kept if their length fits, they aren't only digits, and not mostly stop words."""
     marked = F.regexp_replace(F.regexp_replace(c, "([。！？；])", "$1\u0001"), r"([.!?;])\s", "$1\u0001")
-    parts = F.transform(F.split(marked, "\u0001"), normalise)
+    parts = F.transform(F.split(marked, "\u0001"), lambda x: normalise(x))
     keep = F.filter(parts, lambda s: F.length(s).between(least, most) & ~s.rlike(r"^[\d\s]+$"))
     if not stop_words:
         return keep

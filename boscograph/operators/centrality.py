@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boscograph.operators.graph import simple_pairs
-from boscograph.session import cut
+from boscograph.session import cut_table as cut  # a checkpoint keeps what was inferred of its columns, which grows from round to round
 
 #: Exact shortest-path measures need the graph in every task; larger graphs are refused rather than sampled.
 MOST_PAIRS = 1_000_000
@@ -84,9 +84,10 @@ def paths_centrality(edges: DataFrame, partitions: int = 64) -> DataFrame:
                         through[v] += share[v]
                 total, got = sum(dist[v] for v in order), len(order) - 1
                 close.append((name, got / total * got / (n - 1) if total and n > 1 else 0.0))
-        yield pd.DataFrame({"name": [c[0] for c in close], "closeness": [c[1] for c in close], "part": 0.0})
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-        yield pd.DataFrame({"name": names, "closeness": None, "part": [x * scale for x in through]}).astype({"closeness": float})
+        if close:
+            scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+            yield pd.DataFrame({"name": [c[0] for c in close], "closeness": [c[1] for c in close], "part": [0.0] * len(close)})
+            yield pd.DataFrame({"name": names, "closeness": [-1.0] * n, "part": [x * scale for x in through]})
 
     sources = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().repartition(partitions if n_pairs > 1000 else 4, "name")
     out = sources.mapInPandas(search, "name string, closeness double, part double")

@@ -15,7 +15,7 @@ ANSWER = "concepts array<struct<entity: string, importance: string, category: st
 
 # Categories and words of relations that the rule critic accepts.
 VALID_CATEGORIES = ("pathogen", "host", "vector", "symptom", "treatment", "environment", "location", "mechanism", "compound")
-VALID_RELATIONS = ("引起", "感染", "寄生", "传播", "携带", "取食", "防治", "治疗", "影响", "分布", "监测", "导致", "抑制", "促进", "包含", "属于", "相关")
+VALID_RELATIONS = ("引起", "导致", "诱发", "传播", "携带", "扩散", "感染", "寄生于", "侵染", "防治", "控制", "抑制", "杀灭", "影响", "促进", "分布于", "发生于")
 
 
 def with_retries(call: Callable[[str], str | None], texts: pd.Series, attempts: int = 3) -> list[str | None]:

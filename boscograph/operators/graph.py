@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boscograph.session import cut
+from boscograph.session import cut_table as cut  # a checkpoint keeps what was inferred of its columns, which grows from round to round
 
 
 def both_ways(edges: DataFrame, *keep: str) -> DataFrame:

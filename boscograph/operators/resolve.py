@@ -82,20 +82,29 @@ def ratio(a: str, b: str) -> float:
 def similar_pairs(df: DataFrame, key: str, name: str, least: float = 0.85, within: str | None = None) -> DataFrame:
     """(a, b, na, nb, ratio) for keys a < b whose names, in lower case, match by `least` or more; within: only in the same group.
 
-    Exact and without laying out all pairs. A ratio of `least` leaves at most len - least * (len_a + len_b) / 2 characters of a name
-    unmatched, each of which spoils at most two of its pairs of letters. So both names have a common one among their rarest
-    len - 1 - needed + 1, by which they are joined; survivors of the length test are compared in batches.
+    Exact and without laying out all pairs. Of a name, len_a - M characters stay unmatched, M being at least least * (len_a + len_b) / 2. Each
+    spoils at most two of its pairs of letters, and each unmatched one of the other name at most one; the sum is largest for the shortest or the longest
+    other name. With n pairs spoilt at most, two similar names share one of their n + 1 rarest pairs, by which they are joined. Names so
+    short that no pair need be left are also joined, among themselves, by their rarest letters. Those that pass the test of lengths
+    are compared in batches.
     """
     own = df.select(F.col(key).alias("k"), F.lower(F.col(name)).alias("s"), (F.col(within) if within else F.lit("")).alias("g")).where("s is not null and k is not null")
-    same = own.groupBy("s", "g").agg(F.min("k").alias("k"))  # equal names are compared once
-    gram = same.where("length(s) > 1").select("k", "g", "s", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("i", "x"))
-    gram = gram.withColumn("x", F.concat("x", F.lit("#"), (F.row_number().over(W.partitionBy("k", "g", "x").orderBy("i"))).cast("string")))
-    often = gram.groupBy("x").agg(F.count("*").alias("f"))
-    gram = gram.join(often, "x").withColumn("r", F.row_number().over(W.partitionBy("k", "g").orderBy("f", "x")))
+    same = own.groupBy("s", "g").agg(F.min("k").alias("k")).where("length(s) > 0")  # equal names are compared once
     size = F.length("s")
-    shortest = F.ceil(size * least / (2 - least))
-    unmatched = size - F.ceil(least * (size + shortest) / 2)
-    keep = cut(gram.where(F.col("r") <= F.greatest(F.lit(1), 2 * F.greatest(unmatched, F.lit(0)) + 1)).select("k", "g", "s", "x"))
+    low, high = F.ceil(size * least / (2 - least)), F.floor(size * (2 - least) / least)
+    lost = lambda other: size - F.ceil(least * (size + other) / 2 - 1e-9)
+    spoilt = lambda other: 2 * lost(other) + F.greatest(other - F.ceil(least * (size + other) / 2 - 1e-9), F.lit(0))
+    same = same.withColumn("n2", F.greatest(spoilt(low), spoilt(high), F.lit(0)) + 1).withColumn("n1", F.greatest(lost(low), lost(high), F.lit(0)) + 1)
+
+    def parts(n: int) -> DataFrame:
+        """The rarest runs of n letters of each name, repeated ones told apart."""
+        d = same.where(F.length("s") >= n) if n == 2 else same.where(F.col("n2") >= F.length("s") - 2)
+        d = d.select("k", "g", "s", F.col(f"n{n}").alias("most"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") - (n - 1)), lambda i: F.substring(F.col("s"), i, F.lit(n)))).alias("i", "x"))
+        d = d.withColumn("x", F.concat("x", F.lit("#"), F.row_number().over(W.partitionBy("k", "g", "x").orderBy("i")).cast("string")))
+        d = d.join(d.groupBy("x").agg(F.count("*").alias("f")), "x").withColumn("r", F.row_number().over(W.partitionBy("k", "g").orderBy("f", "x")))
+        return d.where("r <= most + 1").select("k", "g", "s", "x")
+
+    keep = cut(parts(2).unionByName(parts(1)))
     a, b = keep.select("g", "x", F.col("k").alias("a"), F.col("s").alias("na")), keep.select("g", "x", F.col("k").alias("b"), F.col("s").alias("nb"))
     near = a.join(b, ["g", "x"]).where("a < b").where(F.least(F.length("na"), F.length("nb")) >= F.greatest(F.length("na"), F.length("nb")) * (least / (2 - least)) - 1e-9)
     near = near.select("a", "b", "na", "nb").distinct()
@@ -211,7 +220,7 @@ def representatives(members: DataFrame, concepts: DataFrame) -> DataFrame:
 def merge_candidates(concepts: DataFrame, least: float = 0.85, synonyms: dict = V.SYNONYMS) -> DataFrame:
     """Pairs of concepts (entity, category, ord) that should be one: entity1, entity2, keep, category, confidence, rule.
 
-    contains: the words of one name are in a row in the other's, at least 3 characters, categories alike or one of them 其他; found by a join of the
+    contains: one name (of at least 3 characters) is a part of the other, categories alike or one of them 其他; found by a join of the
     whole name on the runs of characters of its length. similar: names match by more than `least` in one category. synonym: a known rule.
     """
     c = cut(concepts.where("entity is not null").select("ord", "entity", F.coalesce("category", F.lit(V.OTHER_CATEGORY)).alias("category"), F.lower("entity").alias("s")))

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def files(spark: SparkSession, path: str, schema: str, kind: str = "parquet", per_trigger: int | None = None) -> DataFrame:
+def files(spark: SparkSession, path: str, schema, kind: str = "parquet", per_trigger: int | None = None) -> DataFrame:
+    """A stream of the files in a folder, or of one file by its name in its folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.format(kind).schema(schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(at):
+        return reader.option("pathGlobFilter", at.getName()).load(at.getParent().toString())
+    return reader.load(path)
 
 
 def once_by_id(stream: DataFrame, key: str = "feedback_id", time: str = "received_at", late: str = "30 days") -> DataFrame:
