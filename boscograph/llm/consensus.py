@@ -43,7 +43,7 @@ def latest(df: DataFrame, task: Column, item: Column, user: Column, label: Colum
     return own.groupBy("task", "item", "user").agg(F.max_by("label", "o").alias("label"))
 
 
-def consensus(answers: DataFrame, max_rounds: int = 40, tolerance: float = 0.02, strength: float = 6.0, start: float = 0.7) -> Consensus:
+def consensus(answers: DataFrame, max_rounds: int = 40, tolerance: float = 0.02, strength: float = 10.0, start: float = 0.7) -> Consensus:
     """Mean-field variational inference of a confusion model over answers (task, item, user, label) as latest() gives them.
 
     Classes of a task have a Dirichlet prior of 1 each; the row of an annotator for a true class has one of total weight
