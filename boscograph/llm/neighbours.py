@@ -151,7 +151,7 @@ def similar(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, tab
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, asks = pdf[pdf["base"]], pdf[pdf["query"]]
         if not len(mine) or not len(asks):
-            return pd.DataFrame({"i": [], "j": [], "cos": []})
+            return pd.DataFrame([], columns=["i", "j", "cos"])
         return _best(_matrix(mine["v"]), mine["i"].to_numpy(), _matrix(asks["v"]), asks["i"].to_numpy(), k)
 
     near = base.mapInPandas(spread, f"b long, x int, y int, i {kind}, v binary, base boolean, query boolean").groupBy("b", "x", "y").applyInPandas(compare, f"i {kind}, j {kind}, cos double")

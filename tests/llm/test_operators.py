@@ -370,6 +370,8 @@ def test_scans(spark):
     assert got[902].repaired == "两次调查之间的间隔过长，可能遗漏短期暴发的萎斑病。树干内侧白色菌丝的数量随海拔升高而减少。"
     assert got[903].repaired is None and got[903].damage == [] and got[904].repaired == "" and not any(got[i].damage for i, _, _ in clean)
     assert scans.repair(df.limit(0), "id", "text").collect() == []
+    few = df.where("id = 0").repartition(5)  # tasks without rows
+    assert scans.repair(few, "id", "text").count() == 1
 
 
 def test_misreads():
