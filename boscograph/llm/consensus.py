@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boscograph.session import cut
 
@@ -17,12 +20,16 @@ MOST_BROADCAST = 8_000_000
 MOST_LABELS = 200
 
 
-def digamma(x: Column) -> Column:
-    """Of positive numbers, to about 1e-9: six steps of the recurrence, then the asymptotic series."""
-    y = x + 6
+@F.pandas_udf(T.DoubleType())
+def digamma(x: pd.Series) -> pd.Series:
+    """Of positive numbers, to about 1e-9: six steps of the recurrence, then the asymptotic series. Only the small table of annotators goes through it; as a
+    column expression it would hold its argument sixteen times over, and the plans of all rounds stay in the driver's memory."""
+    y = x.to_numpy(dtype=float)
+    out = np.zeros_like(y)
+    for _ in range(6):
+        out, y = out - 1 / y, y + 1
     z = 1 / (y * y)
-    series = F.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240)))
-    return series - sum((1 / (x + i) for i in range(1, 6)), 1 / x)
+    return pd.Series(out + np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240))))
 
 
 @dataclass
