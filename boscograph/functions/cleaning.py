@@ -146,3 +146,12 @@ def assemble(secs: Column) -> Column:
     kept = F.when(at > 0, F.slice(kept, F.lit(1), at - 1)).otherwise(kept)
     texts = F.flatten(F.transform(kept, lambda s: F.concat(F.when((s.level > 0) & (s.title != ""), F.array(F.concat(F.repeat(F.lit("#"), s.level), F.lit(" "), s.title))).otherwise(F.array().cast("array<string>")), s.content)))
     return clean(F.array_join(texts, "\n\n"))
+
+
+def rewrite_table_text(c: Column) -> Column:
+    """Text made of two or more parts 'X为Y；' or 'X为Y。' as 'X是Y，…。'; other text stays. Rows of a Markdown table and the mark before table text are dropped."""
+    c = F.regexp_replace(F.regexp_replace(c, r"(?m)^\|.*\|$", ""), r"表格内容：\s*", "")
+    pattern = F.lit("([^；。]+)为([^；。]+)[；。]")
+    heads, cells = F.regexp_extract_all(c, pattern, 1), F.regexp_extract_all(c, pattern, 2)
+    parts = F.filter(F.zip_with(heads, cells, lambda h, x: F.when((outer(h) != "") & (outer(x) != ""), F.concat(outer(h), F.lit("是"), outer(x)))), lambda x: x.isNotNull())
+    return F.when((F.size(heads) > 1) & (F.size(parts) > 0), F.concat(F.array_join(parts, "，"), F.lit("。"))).otherwise(c)

@@ -274,3 +274,72 @@ def nearest_entity(text: Column, pronoun: str, entities: Column, default: str, w
 def replace_pronoun(text: Column, pronoun: str, entity: Column) -> Column:
     """The pronoun replaced where it stands as a word of its own; characters of Chinese words count as letters, so it must stand free of them."""
     return F.regexp_replace(text, F.lit(rf"(?U)\b{pronoun}\b"), F.regexp_replace(F.coalesce(entity, F.lit(pronoun)), r"([\\$])", r"\\$1"))
+
+
+def seed_clusters(df: DataFrame, key: str, name: str, group: str, least: float = 0.85) -> DataFrame:
+    """key, seed, representative: in key order within a group, a name similar to no earlier seed is a seed; others join their first similar seed. The
+    shortest name of a cluster (the first of ties) represents it."""
+    own = df.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(group).alias("g")).where("key is not null and name is not null and g is not null")
+    low = own.select("key", "name", "g", F.lower("name").alias("s"))
+    first = low.groupBy("s", "g").agg(F.min("key").alias("head"))  # similar_pairs() compares equal names once, by the smallest key
+    pairs = cut(similar_pairs(own, "key", "name", least, within="g").select("a", "b"))
+    heads = first.select(F.col("head").alias("key"), F.col("head").alias("rank"))
+    kept = greedy_keep(heads, pairs).select("key", "kept")
+    seeds = kept.where("kept").select("key")
+    link = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("seed")), F.struct(F.col("b").alias("key"), F.col("a").alias("seed")))).alias("x")).select("x.*")
+    joins = link.join(seeds.withColumnRenamed("key", "seed"), "seed").where("seed < key").join(seeds, "key", "left_anti").groupBy("key").agg(F.min("seed").alias("seed"))
+    at = seeds.select("key", F.col("key").alias("seed")).unionByName(joins)
+    member = low.join(first, ["s", "g"]).join(at.select(F.col("key").alias("head"), "seed"), "head")
+    best = member.groupBy("seed").agg(F.min_by("name", F.struct(F.length("name"), "key")).alias("representative"))
+    return member.join(best, "seed").select(F.col("key").alias(key), "seed", "representative")
+
+
+#: Aliases are a list that people keep; more are an error.
+MOST_ALIASES = 5000
+
+
+def alias_normalise(df: DataFrame, name: str, aliases: dict[str, tuple[str, ...]] = V.ALIASES, least: float = 0.9) -> DataFrame:
+    """name, standard for every different name: the standard name of the equal alias (without case), else of the first alias that matches by `least`, else the name."""
+    table: dict[str, str] = {}
+    for standard, names in aliases.items():
+        for x in (standard, *names):
+            table.setdefault(x.lower(), standard)
+    if len(table) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases")
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for pdf in batches:
+            out = []
+            for x in pdf["name"]:
+                s = x.strip().lower()
+                got = known.get(s)
+                if got is None:
+                    m = SequenceMatcher(None)
+                    m.set_seq2(s)
+                    for a, standard in known.items():
+                        if min(len(a), len(s)) * (2 - least) >= max(len(a), len(s)) * least:
+                            m.set_seq1(a)
+                            if m.quick_ratio() >= least and ratio(s, a) >= least:
+                                got = standard
+                                break
+                out.append(x if got is None else got)
+            yield pdf.assign(standard=out)
+
+    names = df.select(F.col(name).alias("name")).where("name is not null").distinct()
+    return names.mapInPandas(match, "name string, standard string")
+
+
+def link_entities(entities: DataFrame, edges: DataFrame, standard: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (id, name, type) under their standard names (name, standard), each (name, type) once as first seen and numbered anew from 1, and edges
+    (head, relation, tail, ord) rewritten and each once as first seen."""
+    from boscograph.operators.relations import numbered
+
+    std = standard.select(F.col("name").alias("_n"), "standard")
+    e = entities.join(std, F.col("name") == F.col("_n"), "left").select("id", F.coalesce("standard", "name").alias("name"), "type")
+    once = e.groupBy("name", "type").agg(F.min("id").alias("first"))
+    for end in ("head", "tail"):
+        edges = edges.join(std, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("standard", end)).drop("_n", "standard")
+    rel = edges.groupBy("head", "relation", "tail").agg(F.min("ord").alias("ord"))
+    return numbered(once, ["first", "type"], "id").select("id", "name", "type"), rel

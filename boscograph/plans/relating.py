@@ -211,6 +211,26 @@ def kg_entity_link(s, d):
     return first.groupBy("kind").agg(F.count("*").alias("n"), F.min("first_id").alias("first_id"), F.max("first_id").alias("last_id"))
 
 
+def kg_link_entities(s, d):
+    zh = table(s, d, "ref_terms").where("term is not null and term_zh is not null").select(F.lower("term_zh").alias("name"), F.lower("term").alias("standard"))
+    standard = zh.groupBy("name").agg(F.min("standard").alias("standard"))
+    c = lens.concepts(s, d).select(F.col("ord").alias("id"), F.col("entity").alias("name"), F.coalesce("category", F.lit("other")).alias("type"))
+    e = lens.edges(s, d).select(F.col("src").alias("head"), F.col("rel_type").alias("relation"), F.col("dst").alias("tail"), F.lit(1).alias("ord"))
+    return resolve.link_entities(c, e, standard)[0]
+
+
+def kg_seed_clusters(s, d):
+    out = resolve.seed_clusters(table(s, d, "ref_terms"), "term_id", "term", "category", 0.8)
+    return out.where("term_id <> seed")
+
+
+def kg_alias_normalise(s, d):
+    names = table(s, d, "ref_terms").select(F.col("term").alias("name"))
+    terms = {r.term: (r.term_zh,) for r in table(s, d, "ref_terms").where("term is not null and term_zh is not null").orderBy("term_id").limit(1500).collect()}
+    noisy = table(s, d, "concept_vectors").select(F.col("entity").alias("name"))
+    return resolve.alias_normalise(names.unionByName(noisy), "name", terms).where("name <> standard")
+
+
 def kg_entity_importance(s, d):
     label = {"disease": 10, "pathogen": 8, "host": 7, "vector": 7, "symptom": 5, "treatment": 5, "location": 3, "environment": 4}
     n = lens.nodes(s, d)
@@ -327,6 +347,10 @@ SQL = {
         with {lens.E}, k as (select name, count(*) as n from (select src as name from e union all select dst from e) group by name)
         select candidate_id, coalesce(a.n, 0) as relations_1, coalesce(b.n, 0) as relations_2, coalesce(confidence, 0) >= 0.95 as auto from merge_candidates m left join k a on a.name = lower(entity1) left join k b on b.name = lower(entity2) where entity1 is not null and entity2 is not null""",
     "kg_entity_link": f"with {lens.C}, x as (select entity, coalesce(category, 'other') as kind, min(ord) as first_id from c group by all) select kind, count(*) as n, min(first_id) as first_id, max(first_id) as last_id from x group by kind",
+    "kg_link_entities": f"""
+        with {lens.C}, m as (select lower(term_zh) as name, min(lower(term)) as standard from ref_terms where term is not null and term_zh is not null group by 1),
+             x as (select coalesce(standard, entity) as name, coalesce(category, 'other') as type, min(ord) as f from c left join m on m.name = c.entity group by all)
+        select row_number() over (order by f, type) as id, name, type from x""",
     "kg_entity_importance": f"""
         with {lens.NODES} select name, type, total_degree, total_degree + case type when 'disease' then 10 when 'pathogen' then 8 when 'host' then 7 when 'vector' then 7 when 'symptom' then 5 when 'treatment' then 5 when 'location' then 3 when 'environment' then 4 else 1 end as score from n""",
     "kg_coreference": """

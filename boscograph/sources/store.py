@@ -123,3 +123,10 @@ def bulk_files(concepts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     a, b = ids.select(F.col("name").alias("head"), F.col("id").alias("head_id")), ids.select(F.col("name").alias("tail"), F.col("id").alias("tail_id"))
     rel = edges.join(a, "head").join(b, "tail").select("head_id", "relation", "tail_id", "confidence")
     return ids.select("id", "name", "type"), rel
+
+
+def log_problems(lines: DataFrame, last: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(errors, timeouts) counted over log lines (line_no, line), and the last errors."""
+    error = F.col("line").contains("ERROR")
+    late = F.col("line").contains("WARNING") & F.lower("line").contains("timeout")
+    return lines.agg(F.count_if(error).alias("errors"), F.count_if(late).alias("timeouts")), lines.where(error).orderBy(F.desc("line_no")).limit(last)

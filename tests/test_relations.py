@@ -166,3 +166,35 @@ def test_context_window(spark):
 def test_images(spark):
     links = spark.createDataFrame([("A", "i1", "one"), ("A", "i2", "two"), ("A", "i3", "three"), ("b", "i1", "one")], "concept string, image_path string, caption string")
     assert [(r.concept, r.image_path) for r in extract.images_for(links, ["a", "B"], 2).collect()] == [("A", "i1"), ("A", "i2")]
+
+
+def test_seed_clusters_equal_one_after_another(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(4, 8))) for _ in range(40)]
+    df = spark.createDataFrame([(i, w, "g" if i % 2 else "h") for i, w in enumerate(words)], "k int, s string, g string")
+    got = {r.k: r.seed for r in resolve.seed_clusters(df, "k", "s", "g", 0.8).collect()}
+    true = {}
+    for i, w in enumerate(words):
+        seeds = [j for j in sorted(set(true.values())) if j % 2 == i % 2 and (words[j] == w or resolve.ratio(words[j], w) >= 0.8)]
+        true[i] = seeds[0] if seeds else i
+    assert got == true
+
+
+def test_alias_and_link(spark):
+    names = spark.createDataFrame([("PWD",), ("pine wilt diseas",), ("松材线虫",), ("oak",), (None,)], "n string")
+    got = {r.name: r.standard for r in resolve.alias_normalise(names, "n").collect()}
+    assert got == {"PWD": "松材线虫病", "pine wilt diseas": "松材线虫病", "松材线虫": "松材线虫", "oak": "oak"}
+    ent = spark.createDataFrame([(1, "松材线虫病", "Disease"), (2, "PWD", "Disease"), (3, "pine wilt", "Disease"), (4, "松材线虫", "Pathogen"), (5, "B. xylophilus", "Pathogen"), (6, "马尾松", "Host")], "id int, name string, type string")
+    rel = spark.createDataFrame([("PWD", "r", "马尾松", 1), ("pine wilt", "r", "马尾松", 2)], "head string, relation string, tail string, ord int")
+    e, r = resolve.link_entities(ent, rel, resolve.alias_normalise(ent, "name"))
+    assert sorted(map(tuple, e.collect())) == [(1, "松材线虫病", "Disease"), (2, "松材线虫", "Pathogen"), (3, "马尾松", "Host")]
+    assert [tuple(x) for x in r.collect()] == [("松材线虫病", "r", "马尾松", 1)]
+    e, _ = resolve.link_entities(ent.limit(0), rel, resolve.alias_normalise(ent, "name"))
+    assert e.collect() == []
+
+
+def test_numbered(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as v")
+    assert relations.numbered(df, ["v"], "n").where("n <> v + 1").count() == 0

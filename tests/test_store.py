@@ -92,3 +92,9 @@ def test_feedback_patterns(spark):
 def test_unprocessed(spark, n):
     c = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
     assert store.unprocessed(c, c.limit(n)).count() == 2 - n
+
+
+def test_log(spark):
+    lines = spark.createDataFrame([(1, "x ERROR a"), (2, "y WARNING Timeout"), (3, "z ERROR b")], "line_no int, line string")
+    n, last = store.log_problems(lines, 1)
+    assert tuple(n.first()) == (2, 1) and last.first().line_no == 3

@@ -53,3 +53,8 @@ def test_sections_and_tables(spark):
 def test_snippets(spark):
     got = values(spark, [("ab cat cd cat", "cat"), ("none", "cat"), ("a.c abc", "a.c")], "t string, e string", X.snippets(F.col("t"), F.col("e"), 2))
     assert got == [(["b cat c", "d cat"],), ([],), (["a.c a"],)]
+
+
+def test_table_text(spark):
+    rows = [("温度为20；湿度为高。",), ("只有一个为例。",), ("| a | b |\n表格内容： x",), (None,)]
+    assert values(spark, rows, "t string", X.rewrite_table_text(F.col("t"))) == [("温度是20，湿度是高。",), ("只有一个为例。",), ("\nx",), (None,)]
