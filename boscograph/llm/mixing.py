@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boscograph.functions.text import fold, n_tokens
@@ -87,9 +88,9 @@ class Mix:
     def report(self) -> DataFrame:
         """One row per source of the targets: what it had, what it was to give and what it gave; short if its repeats can't suffice."""
         got = self.drawn().groupBy("s").agg(F.sum(F.col("n") * F.col("copies")).alias("sampled_tokens"), F.max("copies").alias("most_copies"))
-        all_got = got.agg(F.sum("sampled_tokens").alias("all_tokens"))
+        total = F.sum("sampled_tokens").over(W.partitionBy())  # over one row per source
         return (
-            self.plan.join(got, "s", "left").crossJoin(F.broadcast(all_got))  # a one-row total
+            self.plan.join(got, "s", "left").withColumn("all_tokens", total)
             .select(F.col("s").alias("source"), F.col("share").alias("target_share"), F.col("most").alias("max_repeats"), F.col("c").alias("documents"), F.col("n").alias("tokens"), F.col("rate").alias("wanted_repeats"),
                     F.coalesce("sampled_tokens", F.lit(0)).alias("sampled_tokens"), F.coalesce(F.col("sampled_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "short")
         )
