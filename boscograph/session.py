@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,17 @@ def cut_table(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per context, so that they find it wherever the driver was started. Spark serves the file to the executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_has_boscograph", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="boscograph-")) / "boscograph-source.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(at))
+    sc._has_boscograph = True
