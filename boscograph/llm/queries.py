@@ -144,7 +144,8 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir).report().where("short").select("source")
+    """Sources that fell short in the sample drawn: all that they have, as often as allowed, is in it and is too little."""
+    return _mix(spark, sf_dir).report().where("short and sampled_tokens = max_repeats * tokens").select("source")
 
 
 # 10: splitting oversized items
