@@ -167,7 +167,15 @@ _REF = V.REFERENCE_PATTERN + "|" + "|".join(V.REFERENCE_WORDS)
 _IN_TABLE = " or ".join(f"contains(coalesce(edge, ''), '{w}')" for w in extract.VALID_RELATIONS)
 _CATS = ",".join(f"'{c}'" for c in extract.VALID_CATEGORIES)
 
+_WIDE = X._WIDE.replace("'", "''")
+_NARROW = X._NARROW.replace("'", "''")
+
 SQL = {
+    "kg_sentences": r"""
+        with t as (select doc_id, trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g'), ' ') as t from documents where text is not null),
+             p as (select doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([。！？!?；;.]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) >= 5) as x from t)
+        select doc_id, len(x)::int as n_sentences, coalesce(list_max(list_transform(x, lambda y: length(y))), 0)::int as longest from p""",
+    "kg_width_fold": rf"select doc_id, trim(regexp_replace(regexp_replace(translate(text, '{_WIDE}', '{_NARROW}'), '[\s\x0B\x{{A0}}\x{{3000}}]+', ' ', 'g'), '[\x00-\x1f\x7f-\x{{9f}}]', '', 'g'), ' ') as folded from documents",
     "kg_text_clean": f"select doc_id, {_CLEAN} as clean from documents",
     "kg_header_footer": f"""
         with l as (select extract_id, unnest(string_split(cleaned_text, chr(10))) as line, generate_subscripts(string_split(cleaned_text, chr(10)), 1) as i from pdf_extracts where cleaned_text is not null),
