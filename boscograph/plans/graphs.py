@@ -165,59 +165,112 @@ def kg_two_hop(s, d):
 
 
 def _strong(s, d):
-    """Pairs that several relations join: the graph for what needs a sparse one."""
-    return graph.simple_pairs(lens.edges(s, d)).where("n >= 4").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight"))
+    """Pairs that several relations join: the part of the graph that the SQL of the six queries below asks for; _whole() has all of it."""
+    return _simple(s, d, 4)
 
 
-def kg_components(s, d):
-    names = lens.concepts(s, d).select(F.col("entity").alias("name")).distinct()
-    return graph.components(_strong(s, d), names).groupBy("component").agg(F.count("*").alias("n"))
+def _whole(s, d):
+    return _simple(s, d, 1)
 
 
-def kg_label_propagation(s, d):
-    e = _strong(s, d)
-    return graph.label_propagation(e, graph.nodes_of(e)).groupBy("community").agg(F.count("*").alias("n"))
+def _simple(s, d, least):
+    return graph.simple_pairs(lens.edges(s, d)).where(F.col("n") >= least).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight"))
 
 
-def kg_louvain(s, d):
-    e = _strong(s, d)
-    return graph.louvain(e, graph.nodes_of(e))
+def _component_sizes(s, d, e):
+    names = lens.concepts(s, d).select(F.col("entity").alias("name")).distinct()
+    return graph.components(e, names).groupBy("component").agg(F.count("*").alias("n"))
 
 
-def kg_modularity(s, d):
-    e = _strong(s, d)
+def _component_modularity(e):
     return graph.modularity(e, graph.components(e, graph.nodes_of(e)).withColumnRenamed("component", "community")).select(F.round("modularity", 6).alias("modularity"))
 
 
-def kg_community_summary(s, d):
-    e = _strong(s, d)
+def _component_summaries(s, d, e):
     labels = graph.components(e, graph.nodes_of(e)).withColumnRenamed("component", "community")
     t = lens.entity_types(s, d)
     c = lens.concepts(s, d).groupBy("entity").agg(F.max("importance").alias("importance")).join(t, "entity", "left")
     return search.community_summaries(labels, c)
 
 
-def kg_themes(s, d):
+def _themes(e):
     """Membership of nodes in communities, as edges to the theme of each."""
-    e = _strong(s, d)
     labels = graph.components(e, graph.nodes_of(e))
     return labels.select("name", F.lit("BELONGS_TO").alias("rel_type"), F.concat(F.lit("theme: "), "component").alias("theme"))
 
 
+def _clustering(e):
+    return graph.clustering(e).select("name", "degree", "triangles", F.round("clustering", 6).alias("clustering"))
+
+
+def _degree_centrality(e):
+    return centrality.degree_centrality(e).select("name", F.round("degree_centrality", 6).alias("degree_centrality"))
+
+
+def kg_components(s, d):
+    return _component_sizes(s, d, _strong(s, d))
+
+
+def kg_components_whole(s, d):
+    return _component_sizes(s, d, _whole(s, d))
+
+
+def kg_label_propagation(s, d):
+    e = _whole(s, d)
+    return graph.label_propagation(e, graph.nodes_of(e)).groupBy("community").agg(F.count("*").alias("n"))
+
+
+def kg_louvain(s, d):
+    e = _whole(s, d)
+    return graph.louvain(e, graph.nodes_of(e))
+
+
+def kg_modularity(s, d):
+    return _component_modularity(_strong(s, d))
+
+
+def kg_modularity_whole(s, d):
+    return _component_modularity(_whole(s, d))
+
+
+def kg_community_summary(s, d):
+    return _component_summaries(s, d, _strong(s, d))
+
+
+def kg_community_summary_whole(s, d):
+    return _component_summaries(s, d, _whole(s, d))
+
+
+def kg_themes(s, d):
+    return _themes(_strong(s, d))
+
+
+def kg_themes_whole(s, d):
+    return _themes(_whole(s, d))
+
+
 def kg_clustering(s, d):
-    return graph.clustering(_strong(s, d)).select("name", "degree", "triangles", F.round("clustering", 6).alias("clustering"))
+    return _clustering(_strong(s, d))
+
+
+def kg_clustering_whole(s, d):
+    return _clustering(_whole(s, d))
 
 
 def kg_centrality_degree(s, d):
-    return centrality.degree_centrality(_strong(s, d)).select("name", F.round("degree_centrality", 6).alias("degree_centrality"))
+    return _degree_centrality(_strong(s, d))
+
+
+def kg_centrality_degree_whole(s, d):
+    return _degree_centrality(_whole(s, d))
 
 
 def kg_centrality_eigen(s, d):
-    return centrality.eigenvector(_strong(s, d))
+    return centrality.eigenvector(_whole(s, d))
 
 
 def kg_centrality_paths(s, d):
-    return centrality.paths_centrality(_strong(s, d))
+    return centrality.paths_centrality(_whole(s, d))
 
 
 def kg_export_sorted(s, d):
