@@ -118,27 +118,38 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return label
 
 
-def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFrame:
-    """name, community: every node takes the most frequent label of its neighbours and itself, the smallest of ties, in step; stops when none changes."""
+def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 500) -> DataFrame:
+    """name, community: every node takes the most frequent label of its neighbours and itself, the smallest of ties, until none changes.
+
+    A round moves one half of the nodes, chosen by hash anew for every two rounds, so that neighbours don't swap for ever. An error if labels
+    still change after `rounds` such pairs.
+    """
     pairs = cut(simple_pairs(edges).select("a", "b"))
     around = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("name"), F.col("b").alias("other")), F.struct(F.col("b").alias("name"), F.col("a").alias("other")))).alias("x")).select("x.*")
     label = cut(nodes.select("name").unionByName(nodes_of(edges)).distinct().withColumn("community", F.col("name")))
-    for _ in range(rounds):
-        votes = around.join(label.withColumnRenamed("name", "other"), "other").select("name", "community").unionByName(label)
-        best = votes.groupBy("name", "community").agg(F.count("*").alias("n")).groupBy("name").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
-        moved = best.join(label.withColumnRenamed("community", "was"), "name").select("name", "community", (F.col("community") != F.col("was")).alias("m"))
-        moved = cut(moved)
-        label = moved.select("name", "community")
-        if moved.where("m").isEmpty():
-            break
-    return label
-
-
-def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 3, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
+    for r in range(rounds):
+        changed = False
+        for half in range(2):
+            turn = F.pmod(F.xxhash64("name", F.lit(r)), F.lit(2)) == half
+            votes = around.where(turn).join(label.withColumnRenamed("name", "other"), "other").select("name", "community").unionByName(label)
+            best = votes.groupBy("name", "community").agg(F.count("*").alias("n")).groupBy("name").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
+            moved = best.join(label.withColumnRenamed("community", "was"), "name").select("name", "community", (F.col("community") != F.col("was")).alias("m"))
+            moved = cut(moved)
+            label = moved.select("name", "community")
+            changed |= not moved.where("m").isEmpty()
+        if not changed:
+            return label
+    raise RuntimeError(f"labels still change after {rounds} rounds")
+
+
+def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 100, rounds: int = 500, resolution: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
     """name, community (a member's name) by greedy modularity on undirected weighted pairs; lone nodes stay alone.
 
     A round moves the nodes of one half (chosen by hash, in turns, so that neighbours don't swap for ever) to the neighbouring community of the
-    largest gain, the smallest of ties; when a level settles, its communities become the nodes of the next.
+    largest gain, the smallest of ties. A level settles when no node moves in two rounds, or when four times two rounds don't raise the best modularity
+    so far by `tolerance`; the communities of that best become the nodes of the next. Where a level ends so without a gain over the one before,
+    moves that disturb one another are to blame: it goes on with those that have no larger one at either of their communities, whose gains add up.
+    It ends with a level that gains less than `tolerance`; an error if a level takes over `rounds` rounds, or if over `levels` levels are needed.
     """
     everyone = cut(nodes.select("name").unionByName(nodes_of(edges)).distinct())
     pairs = cut(simple_pairs(edges).select("a", "b", F.col("w").cast("double").alias("w")).where("w > 0"))
@@ -147,31 +158,54 @@ def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 3, rounds: int = 6
     if not m2:
         return belongs.withColumnRenamed("c", "community")
     loops = None  # inner weight of merged nodes only adds to their strength
-    strength = None
-    for level in range(levels):
+    quality = None  # modularity of what `belongs` says
+    for _ in range(levels):
         around = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u"), "w"), F.struct(F.col("b").alias("v"), F.col("a").alias("u"), "w"))).alias("x")).select("x.*")
         own = around.groupBy("v").agg(F.sum("w").alias("k"))
         strength = cut(own if loops is None else own.unionByName(loops.select("v", "k")).groupBy("v").agg(F.sum("k").alias("k")))
         label = cut(strength.select("v", "k", F.col("v").alias("c")))
-        any_moved = False
+        start = _quality(around, label, loops, m2, resolution)
+        quality = start if quality is None else quality
+        best_label, top, idle, changed, strict = label, start, 0, False, False
         for r in range(rounds):
             tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
-            turn = label.where(F.pmod(F.xxhash64("v", F.lit(r // 2)), F.lit(2)) == r % 2)
+            turn = label if strict else label.where(F.pmod(F.xxhash64("v", F.lit(r // 2)), F.lit(2)) == r % 2)
             links = around.join(label.select(F.col("v").alias("u"), "c"), "u").groupBy("v", "c").agg(F.sum("w").alias("in_w"))
             options = turn.select("v", "k", F.col("c").alias("old")).join(links, "v").join(tot, "c")
             rest = F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("in_w") - resolution * F.col("k") * rest / m2, 9)
             best = options.groupBy("v").agg(F.min_by("c", F.struct(-gain, "c")).alias("to"), F.max(gain).alias("g"), F.max(F.when(F.col("c") == F.col("old"), gain)).alias("stay"))
             alone = -resolution * F.col("k") * (F.col("tot") - F.col("k")) / m2
-            moved = label.join(best, "v", "left").join(tot, "c").select("v", "k", F.when((F.col("g") > F.coalesce("stay", F.round(alone, 9)) + 1e-9) & (F.col("g") > 0), F.col("to")).otherwise(F.col("c")).alias("n"), "c")
+            more = F.col("g") - F.coalesce("stay", F.round(alone, 9))
+            moved = label.join(best, "v", "left").join(tot, "c").select("v", "k", F.when((more > 1e-9) & (F.col("g") > 0), F.col("to")).otherwise(F.col("c")).alias("n"), "c", more.alias("more"))
+            if strict:
+                moved = cut(moved)
+                touched = moved.where("n <> c").select("v", "more", F.explode(F.array("c", "n")).alias("at"))
+                first = touched.groupBy("at").agg(F.max(F.struct("more", "v")).alias("f")).groupBy(F.col("f.v").alias("v")).agg((F.count("*") == 2).alias("goes"))
+                moved = moved.join(first, "v", "left").withColumn("n", F.when(F.col("goes"), F.col("n")).otherwise(F.col("c")))
             moved = cut(moved.select("v", "k", F.col("n").alias("c"), (F.col("n") != F.col("c")).alias("m")))
             label = moved.select("v", "k", "c")
-            changed = not moved.where("m").isEmpty()
-            any_moved |= changed
-            if not changed and r % 2:
+            changed |= not moved.where("m").isEmpty()
+            if r % 2 == 0 and not strict:
+                continue
+            if not changed:
                 break
-        if not any_moved:
-            break
+            changed, now = False, _quality(around, label, loops, m2, resolution)
+            gained = now > top + tolerance
+            idle = 0 if gained else idle + 1
+            if now > top:
+                best_label, top = label, now
+            if strict and not gained:
+                break
+            if idle == 4:
+                if top > quality + tolerance:
+                    break
+                label, strict = best_label, True
+        else:
+            raise RuntimeError(f"communities still gain after {rounds} rounds")
+        if top <= quality + tolerance:
+            return belongs.withColumnRenamed("c", "community")
+        label, quality = best_label, top
         belongs = cut(belongs.join(label.select(F.col("v").alias("c"), F.col("c").alias("n")), "c", "left").select("name", F.coalesce("n", "c").alias("c")))
         at = label.select("v", "c")
         merged = pairs.join(at.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(at.select(F.col("v").alias("b"), F.col("c").alias("y")), "b")
@@ -179,7 +213,16 @@ def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 3, rounds: int = 6
         old = None if loops is None else loops.join(at, "v").groupBy(F.col("c").alias("v")).agg(F.sum("k").alias("k"))
         loops = cut(inner if old is None else inner.unionByName(old).groupBy("v").agg(F.sum("k").alias("k")))
         pairs = cut(merged.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
-    return belongs.withColumnRenamed("c", "community")
+    raise RuntimeError(f"communities still gain after {levels} levels")
+
+
+def _quality(around: DataFrame, label: DataFrame, loops: DataFrame | None, m2: float, resolution: float) -> float:
+    """Modularity of label (v, k, c); loops (v, k) is twice the weight inside of each v."""
+    ends = label.select("v", "c"), label.select(F.col("v").alias("u"), F.col("c").alias("d"))
+    inner = around.join(ends[0], "v").join(ends[1], "u").where("c = d").agg(F.sum("w")).first()[0] or 0.0
+    inner += (loops.agg(F.sum("k")).first()[0] or 0.0) if loops is not None else 0.0
+    square = label.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+    return inner / m2 - resolution * square / m2 / m2
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
