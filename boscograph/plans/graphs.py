@@ -138,23 +138,51 @@ def _seeds(s):
     return s.createDataFrame([(SEED,)], "name string")
 
 
+def _relation(s, d, rel):
+    """The relations that the SQL of a walk asks for; kg_..._whole walk over all of them."""
+    return lens.edges(s, d).where(F.col("rel_type") == rel)
+
+
+def _neighborhood(s, e):
+    _, on = graph.neighbourhood(e, _seeds(s), 2)
+    return on.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _expand_induced(s, d, e):
+    found = graph.reachable(e, _seeds(s), 1)
+    return graph.induced(lens.edges(s, d), found).groupBy("rel_type").agg(F.count("*").alias("n"), F.count_distinct("src").alias("n_src"))
+
+
 def kg_khop(s, d):
-    return graph.reachable(lens.edges(s, d).where("rel_type = 'feeds_on'"), _seeds(s), 2)
+    return graph.reachable(_relation(s, d, "feeds_on"), _seeds(s), 2)
+
+
+def kg_khop_whole(s, d):
+    return graph.reachable(lens.edges(s, d), _seeds(s), 2)
 
 
 def kg_neighborhood(s, d):
-    _, on = graph.neighbourhood(lens.edges(s, d).where("rel_type = 'carried_by'"), _seeds(s), 2)
-    return on.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return _neighborhood(s, _relation(s, d, "carried_by"))
+
+
+def kg_neighborhood_whole(s, d):
+    return _neighborhood(s, lens.edges(s, d))
 
 
 def kg_expand_induced(s, d):
-    e = lens.edges(s, d)
-    found = graph.reachable(e.where("rel_type = 'feeds_on'"), _seeds(s), 1)
-    return graph.induced(e, found).groupBy("rel_type").agg(F.count("*").alias("n"), F.count_distinct("src").alias("n_src"))
+    return _expand_induced(s, d, _relation(s, d, "feeds_on"))
+
+
+def kg_expand_induced_whole(s, d):
+    return _expand_induced(s, d, lens.edges(s, d))
 
 
 def kg_shortest_path(s, d):
-    return graph.shortest_path(lens.edges(s, d).where("rel_type = 'aggravates'"), SEED, "scarlet needle scorch", 5)
+    return graph.shortest_path(_relation(s, d, "aggravates"), SEED, "scarlet needle scorch", 5)
+
+
+def kg_shortest_path_whole(s, d):
+    return graph.shortest_path(lens.edges(s, d), SEED, "scarlet needle scorch", 5)
 
 
 def kg_two_hop(s, d):
@@ -300,13 +328,20 @@ def kg_local_search(s, d):
     return found.select("name", "dist")
 
 
-def kg_search_context(s, d):
-    e = lens.edges(s, d).where("rel_type = 'inhibits'")
+def _search_context(s, e):
     found = graph.reachable(e, _seeds(s), 1)
     inside = graph.induced(e, found).groupBy("src", "rel_type", "dst").agg(F.max("weight").alias("weight"))
     return search.context_lines(found, inside)
 
 
+def kg_search_context(s, d):
+    return _search_context(s, _relation(s, d, "inhibits"))
+
+
+def kg_search_context_whole(s, d):
+    return _search_context(s, lens.edges(s, d))
+
+
 def kg_feedback_report(s, d):
     return feedback.report(feedback.once(table(s, d, "feedback")))
 
