@@ -151,21 +151,31 @@ def kg_hybrid(s, d):
 
 
 def kg_tfidf(s, d):
-    names = table(s, d, "ref_terms").select(F.lower("term").alias("name")).where("name is not null").distinct()
+    """On the terms, as its SQL; kg_tfidf_whole is on the names of the concepts."""
+    return _gram_weights(table(s, d, "ref_terms").select(F.lower("term").alias("name")).where("name is not null").distinct())
+
+
+def kg_tfidf_whole(s, d):
+    return _gram_weights(lens.concepts(s, d).select(F.col("entity").alias("name")).distinct())
+
+
+def _gram_weights(names):
     return resolve.tfidf(names, "name").groupBy("gram").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-def _terms(s, d):
-    return table(s, d, "ref_terms").where("term is not null").select(F.col("term_id").alias("ord"), F.col("term").alias("entity"), relations.standard_category(F.col("category")).alias("category"))
+def _names(s, d):
+    """Every name of the concepts once, with its first row and the category most often given."""
+    c = lens.concepts(s, d).groupBy("entity").agg(F.min("ord").alias("ord")).join(lens.entity_types(s, d), "entity", "left")
+    return c.select("ord", "entity", relations.standard_category(F.coalesce("category", F.lit("misc"))).alias("category"))
 
 
 def kg_fuzzy_pairs(s, d):
-    p = resolve.similar_pairs(_terms(s, d), "ord", "entity", 0.85)
+    p = resolve.similar_pairs(_names(s, d), "ord", "entity", 0.85)
     return p.select("na", "nb", F.round("ratio", 6).alias("ratio"))
 
 
 def kg_fuzzy_dedup(s, d):
-    t = _terms(s, d)
+    t = _names(s, d)
     items = t.select(F.col("ord").alias("key"), F.struct(-F.length("entity"), "ord").alias("rank"), "entity")
     pairs = resolve.similar_pairs(t, "ord", "entity", 0.85)
     kept = resolve.greedy_keep(items, pairs.select("a", "b"))
@@ -173,7 +183,7 @@ def kg_fuzzy_dedup(s, d):
 
 
 def kg_merge_candidates(s, d):
-    return resolve.merge_candidates(_terms(s, d)).groupBy("rule", "category").agg(F.count("*").alias("n"))
+    return resolve.merge_candidates(_names(s, d)).groupBy("rule", "category").agg(F.count("*").alias("n"))
 
 
 def kg_apply_merges(s, d):
@@ -220,8 +230,8 @@ def kg_link_entities(s, d):
 
 
 def kg_seed_clusters(s, d):
-    out = resolve.seed_clusters(table(s, d, "ref_terms"), "term_id", "term", "category", 0.8)
-    return out.where("term_id <> seed")
+    out = resolve.seed_clusters(_names(s, d), "ord", "entity", "category", 0.8)
+    return out.where("ord <> seed")
 
 
 def kg_alias_normalise(s, d):
