@@ -59,6 +59,12 @@ def cut_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def widely(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all shuffle partitions, for steps that work long on few bytes: adaptive execution would join those into few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the workers this package, once per context, so that they find it wherever the driver was started. Spark serves the file to the executors."""
     sc = spark.sparkContext
