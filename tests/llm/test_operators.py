@@ -311,12 +311,30 @@ CASES = {
 }
 
 
-def test_matcher():
-    m = canonical.Matcher(TERMS)
-    for value, (term, exact_) in CASES.items():
-        assert (m(value, None)[0], m(value, None)[2]) == (term, exact_), value[:60]
-    assert m("ashen root rust", "symptom")[0] == 3 and m("ashen root rust", None)[0] is None and m("ashen root rust", "misc")[3]
-    assert m("ashen rot rust", "disease")[0] == 2 and m(None, None)[0] is None
+TERM = "term_id int, term string, term_zh string, category string"
+AROUND = ["the kionoxmasthiaron", "疑似银渡山区", "银渡山区等", "疑似黛渡唑嗪", "黛渡唑嗪等", "the paroum fimkapoosus"]  # what "the", 疑似 and 等 are learned from
+
+
+def mapped(spark, values, terms):
+    df = spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate(values)], "id long, name string, cat string")
+    rows = canonical.canonicalise(df, spark.createDataFrame(terms, TERM), "id", "name", F.col("cat"), F.col("category")).collect()
+    assert len(rows) == len(values)
+    return {r.id: r for r in rows}
+
+
+def test_matched_values(spark):
+    got = mapped(spark, [(v, None) for v in [*CASES, *AROUND]], TERMS)
+    for i, (value, (term, exact_)) in enumerate(CASES.items()):
+        assert (got[i].term_id, got[i].exact) == (term, exact_), value[:60]
+    got = mapped(spark, [("ashen root rust", "symptom"), ("ashen root rust", None), ("ashen root rust", "misc"), ("ashen rot rust", "disease"), (None, None)], TERMS)
+    assert [got[i].term_id for i in range(5)] == [3, None, None, 2, None] and got[2].choice and not got[4].choice
+
+
+def test_a_long_list_loses_no_entry(spark):
+    """Candidates don't depend on how many entries share a word; an unexplained word rules an entry out."""
+    terms = [(1, "red pine", None, "host"), (2, "prime", None, "host"), *((i, f"w{i:06d}q pine", None, "host") for i in range(10, 200_000 - 10))]
+    got = mapped(spark, [("red pime", None), ("red pine x", None), ("redpine", None), ("w004321q pnie", None), ("pine", None)], terms)
+    assert [got[i].term_id for i in range(5)] == [1, None, None, 4321, None]
 
 
 def test_canonicalise(spark):
