@@ -1,15 +1,16 @@
-"""python -m boscograph.llm.recall DIR: share of the true 5 most similar vectors that p7_neighbours finds, by brute force over all of DIR/concept_vectors.parquet."""
+"""python -m boscograph.llm.recall DIR [WHOLE]: share of the true 5 most similar vectors that p7_neighbours finds, by brute force over all of DIR/concept_vectors.parquet. WHOLE sets
+the rows of a bucket up to which it is compared whole, to measure the second hash on few vectors."""
 
 import sys
 
 import numpy as np
 
-from boscograph.llm.queries import p7_neighbours
+from boscograph.llm import neighbours
 from boscograph.session import local_session
 from boscograph.sources.tables import table
 
 
-def main(sf_dir: str) -> None:
+def main(sf_dir: str, whole: int = neighbours.WHOLE) -> None:
     spark = local_session(8, "recall")
     spark.sparkContext.setLogLevel("OFF")
     rows = [(r.vec_id, r.vector) for r in table(spark, sf_dir, "concept_vectors").where("size(vector) = 64").select("vec_id", "vector").collect()]
@@ -27,7 +28,7 @@ def main(sf_dir: str) -> None:
             true[ids[a + k]] = set(ids[top[k]].tolist())
             near[ids[a + k]] = {int(ids[j]) for j in top[k] if s[k, j] >= 0.85}
     found: dict[int, set] = {}
-    for r in p7_neighbours(spark, sf_dir).collect():
+    for r in neighbours.similar(table(spark, sf_dir, "concept_vectors"), "vec_id", "vector", dim=64, k=5, whole=whole).collect():
         found.setdefault(r.vec_id, set()).add(r.other)
     hits = sum(len(true[i] & found.get(i, set())) for i in true)
     close = sum(len(near[i] & found.get(i, set())) for i in near)
@@ -35,4 +36,4 @@ def main(sf_dir: str) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(sys.argv[1], *map(int, sys.argv[2:3]))
