@@ -100,8 +100,8 @@ def _best(i: np.ndarray, j: np.ndarray, s: np.ndarray, m: int) -> tuple[np.ndarr
 def _meet(x: np.ndarray, base: np.ndarray, query: np.ndarray, m: int, more: int, whole: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates (row, row, cosine) among the rows of one bucket, both ways of every pair compared.
 
-    A small bucket is compared whole, also rows that only probe it with each other. In a larger one each row of it is hashed once more by another rotation, and
-    is compared with the rows whose `more` nearest axes hold its own.
+    Rows that only probe the bucket are compared with each other too. A small bucket is compared whole. In a larger one each row is hashed once more by another
+    rotation, and is compared with the rows whose `more` nearest axes hold its own.
     """
     out = []
 
@@ -113,6 +113,8 @@ def _meet(x: np.ndarray, base: np.ndarray, query: np.ndarray, m: int, more: int,
             if both:
                 out.append(_top(np.ascontiguousarray(s.T), b, q[a : a + 1024], m))
 
+    if query.all():  # no cell of a cut bucket
+        base = query
     if len(x) <= whole and query.all():
         every = np.arange(len(x))
         compare(every, every, False)
