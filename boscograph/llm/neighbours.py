@@ -97,11 +97,11 @@ def _best(i: np.ndarray, j: np.ndarray, s: np.ndarray, m: int) -> tuple[np.ndarr
     return i[keep], j[keep], s[keep]
 
 
-def _meet(x: np.ndarray, base: np.ndarray, query: np.ndarray, m: int, more: int, whole: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _meet(x: np.ndarray, base: np.ndarray, query: np.ndarray, m: int, more: int, whole: int, bucket: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates (row, row, cosine) among the rows of one bucket, both ways of every pair compared.
 
-    Rows that only probe the bucket are compared with each other too. A small bucket is compared whole. In a larger one each row is hashed once more by another
-    rotation, and is compared with the rows whose `more` nearest axes hold its own.
+    Rows that only probe the bucket are compared with each other too. A small bucket is compared whole. In a larger one each row is hashed once more by a
+    rotation of the bucket's own, and is compared with the rows whose `more` nearest axes hold its own.
     """
     out = []
 
@@ -120,7 +120,7 @@ def _meet(x: np.ndarray, base: np.ndarray, query: np.ndarray, m: int, more: int,
         compare(every, every, False)
     elif base.any() and query.any():
         pad = 1 << max(1, int(x.shape[1] - 1).bit_length())
-        code = _codes(_rotate(np.pad(x, ((0, 0), (0, pad - x.shape[1]))), 0, LEVELS + 1, seed), min(more, pad))
+        code = _codes(_rotate(np.pad(x, ((0, 0), (0, pad - x.shape[1]))), bucket, LEVELS + 1, seed), min(more, pad))
         q = np.flatnonzero(query)
         probe, row = code[q].ravel(), np.repeat(q, code.shape[1])
         order = np.argsort(probe, kind="stable")
@@ -212,7 +212,7 @@ def similar(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, tab
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         u = pdf["u"].to_numpy()
         x = _matrix(pdf["p"]) if near is None else near.value[1][np.searchsorted(near.value[0], u)]
-        i, j, s = _meet(x, pdf["base"].to_numpy(), pdf["query"].to_numpy(), m, more_probes, whole, seed)
+        i, j, s = _meet(x, pdf["base"].to_numpy(), pdf["query"].to_numpy(), m, more_probes, whole, int(pdf["b"].iloc[0]), seed)
         i, j = u[i], u[j]  # a row may be base and query of a block, as two rows
         i, j, s = (z[i != j] for z in (i, j, s))
         found = np.empty(len(i), dtype=_CANDIDATE)
