@@ -17,7 +17,7 @@ from boscograph.session import cut_table, widely
 MOST_IN_BUCKET = 20_000
 LEVELS = 3
 #: Rows of a bucket, those that probe it included, that are compared whole; a larger one is hashed once more within its task.
-WHOLE = 2048
+WHOLE = 512
 #: Vectors are broadcast up to this many bytes; beyond, they travel to the buckets, and are joined for the exact reranking, by shuffle.
 MOST_BROADCAST = 64 << 20
 #: A candidate as it travels: number of the vector and cosine.
