@@ -359,7 +359,7 @@ def canonicalise(df: DataFrame, reference: DataFrame, key: str, value: str, cate
                 for kind, part in pdf.groupby("kind"):
                     texts = part["token"].tolist()
                     for a in range(0, len(texts), 5000):
-                        yield pd.DataFrame({"kind": kind, "token": texts[a : a + 5000], "keys": _keys(kind, texts[a : a + 5000], known, longest[kind])})
+                        yield pd.DataFrame({"kind": kind, "token": texts[a : a + 5000], "keys": pd.Series(_keys(kind, texts[a : a + 5000], known, longest[kind]), dtype=object)})
 
         return run
 

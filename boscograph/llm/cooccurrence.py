@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boscograph.session import cut, cut_table
@@ -15,6 +16,8 @@ HEAVY_SHARE = 1 / 4096
 BLOCK = 1 << 17
 #: Records with more items than this are large; pairs of light items in them aren't laid out.
 LARGE = 1000
+#: Large records of one piece of an item's list.
+PIECE = 4096
 
 
 def _words(n: int) -> int:
@@ -47,8 +50,8 @@ def together(df: DataFrame, record: str, item: str, least: int = 8, least_lift:
     Heavy items, at most 4096 by the definition of HEAVY_SHARE, are laid into bit matrices, one per block of records chosen by hash,
     and their pairs counted by popcount; a block's size doesn't depend on how large a record is. Pairs with a light item are counted by a
     join on the record and a group-by: light with light, and light with the heavy ones of its records. In a large record that would lay
-    out all pairs of its items; there each item keeps the list of its large records instead. Pairs that also meet elsewhere add what
-    their lists share, and those that meet in large records only are found by the rarest of these (all but the least - 1 largest ones of an
+    out all pairs of its items; there each item keeps the list of its large records instead, in pieces by ranges of records. Pairs that also meet elsewhere add what
+    the light item's pieces share with the other's of the same ranges, and those that meet in large records only are found by the rarest of these (all but the least - 1 largest ones of an
     item; two items that share `least` large records share one of those).
     """
     spark = df.sparkSession
@@ -90,16 +93,19 @@ def together(df: DataFrame, record: str, item: str, least: int = 8, least_lift:
     other = small.select("h", F.col("id").alias("b"), F.col("code").isNotNull().alias("heavy"))
     met = light.join(other, "h").where("heavy or a < b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
     if any_large:
-        inside = own.join(large, "h")
-        lists = inside.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("size", "h"))).alias("l"), F.max("code").alias("code"))
-        lists = cut_table(lists.select("id", F.transform("l", lambda x: x.h).alias("l"), "code"))
-        first = lists.where(F.size("l") >= least).select("id", "code", F.explode(F.slice("l", 1, F.size("l") - least + 1)).alias("h"))
-        lone = first.where("code is null").select("h", F.col("id").alias("a")).join(first.select("h", F.col("id").alias("b"), F.col("code").isNotNull().alias("heavy")), "h").where("heavy or a < b")
+        inside = cut_table(own.join(large, "h").select("id", "h", "size", F.col("code").isNotNull().alias("heavy")))
+        # Lists of an item's large records, in pieces of a range of records each, so that none is long and only those that a pair shares a range of are read.
+        ranges = -(-large.count() // PIECE)
+        pieces = inside.groupBy("id", F.pmod("h", F.lit(ranges)).alias("part")).agg(F.collect_list("h").alias("l"))
+        last = inside.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("size"), F.desc("h")))).where(F.col("n") < least).select("id", "h")
+        first = inside.join(last, ["id", "h"], "left_anti")
+        lone = first.where("not heavy").select("h", F.col("id").alias("a")).join(first.select("h", F.col("id").alias("b"), "heavy"), "h").where("heavy or a < b")
         lone = lone.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("n", F.lit(0).cast("long"))
-        met = met.unionByName(lone).groupBy("a", "b").agg(F.sum("n").alias("n"))
-        met = met.join(lists.select(F.col("id").alias("a"), F.col("l").alias("la")), "a", "left").join(lists.select(F.col("id").alias("b"), F.col("l").alias("lb")), "b", "left")
-        shared = F.when(F.col("la").isNotNull() & F.col("lb").isNotNull(), F.size(F.array_intersect("la", "lb"))).otherwise(0)
-        met = met.select("a", "b", (F.col("n") + shared).alias("n"))
+        met = cut_table(met.unionByName(lone).groupBy("a", "b").agg(F.sum("n").alias("n")))
+        probing = met.join(code.select(F.col("id").alias("a"), F.lit(True).alias("heavy")), "a", "left").select("a", "b", F.when(F.col("heavy"), F.col("b")).otherwise(F.col("a")).alias("p"), F.when(F.col("heavy"), F.col("a")).otherwise(F.col("b")).alias("o"))
+        probed = probing.join(pieces.select(F.col("id").alias("p"), "part", F.col("l").alias("lp")), "p").join(pieces.select(F.col("id").alias("o"), "part", F.col("l").alias("lo")), ["o", "part"])
+        shared = probed.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("lp", "lo"))).alias("s"))
+        met = met.join(shared, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("s", F.lit(0))).alias("n"))
 
     found = dense.unionByName(met).where(F.col("n") >= least)
     name = items.select("id", "item", "c")

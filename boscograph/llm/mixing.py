@@ -65,7 +65,7 @@ class Mix:
         self.records = df.select(F.col(key).alias("k"), fold(F.col(source)).alias("s"), n_tokens(F.col(text)).alias("n"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"))
         have = {r["s"]: (r["n"], r["c"]) for r in self.records.join(F.broadcast(names), "s", "left_semi").groupBy("s").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()}
         self.total = sum(n for n, _ in have.values())
-        make = self.total if total is None else total
+        make = self.make = self.total if total is None else total
         plan = []
         for r in sorted(rows, key=lambda r: r["s"]):
             n, c = have.get(r["s"], (0, 0))
@@ -94,3 +94,10 @@ class Mix:
             .select(F.col("s").alias("source"), F.col("share").alias("target_share"), F.col("most").alias("max_repeats"), F.col("c").alias("documents"), F.col("n").alias("tokens"), F.col("rate").alias("wanted_repeats"),
                     F.coalesce("sampled_tokens", F.lit(0)).alias("sampled_tokens"), F.coalesce(F.col("sampled_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "short")
         )
+
+    def fell_short(self) -> DataFrame:
+        """Sources whose part of the sample is below their share of the total although each of their records was drawn as often as allowed, by the copies of the sample; a source without records counts."""
+        got = self.sample().groupBy("source").agg(F.sum("n_tokens").alias("sampled"), F.count("*").alias("copies"))
+        each = self.plan.withColumnRenamed("s", "source").join(got, "source", "left")
+        all_drawn = F.coalesce("copies", F.lit(0)) == F.greatest("most", F.lit(0)) * F.col("c")
+        return each.where(all_drawn & (F.coalesce("sampled", F.lit(0)) < F.col("share") * F.lit(self.make))).select("source")

@@ -41,7 +41,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.consensus(_answers(spark, sf_dir)).users.withColumnRenamed("user", "user_id")
+    found = consensus.consensus(_answers(spark, sf_dir))
+    return found.users.withColumnRenamed("user", "user_id").withColumns({"rounds": F.lit(found.rounds), "settled": F.lit(found.settled)})
 
 
 def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +145,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that fell short in the sample drawn: all that they have, as often as allowed, is in it and is too little."""
-    return _mix(spark, sf_dir).report().where("short and sampled_tokens = max_repeats * tokens").select("source")
+    return _mix(spark, sf_dir).fell_short()
 
 
 # 10: splitting oversized items

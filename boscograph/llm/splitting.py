@@ -22,16 +22,16 @@ KINDS = (
     ("word", 1.5, re.compile(rb"[ \t]+")),
     ("character", 4.0, re.compile(rb"[\x00-\x7f\xc0-\xff][\x80-\xbf]*")),
 )
-#: These are offered for every cut; the kinds after them only in stretches that these leave too long.
-_ALWAYS = 3
+#: These are offered for every cut at first; the kinds after them only in stretches that these leave too long, or where they might make a better cut.
+_FIRST = 3
 
 
-def _positions(data: bytes, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a cut may fall, with the kind of each; at most step apart."""
+def _positions(data: bytes, step: int, everywhere: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a cut may fall, with the kind of each; at most step apart. The first kinds are offered everywhere."""
     kind: dict[int, int] = {}
-    for k in range(_ALWAYS - 1, -1, -1):
+    for k in range(everywhere - 1, -1, -1):
         kind.update((m.end(), k) for m in KINDS[k][2].finditer(data))
-    for k in range(_ALWAYS, len(KINDS)):
+    for k in range(everywhere, len(KINDS)):
         ends = [0, *sorted(kind), len(data)]
         wide = [(a, b) for a, b in zip(ends, ends[1:]) if b - a > step]
         if not wide:
@@ -55,12 +55,22 @@ def cuts(data: bytes, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     n = len(data)
     if n <= limit:
         return [(0, n, "end")] if n else []
-    at, kind = _positions(data, limit - overlap - 3)
+    fewest = -(-(n - overlap) // (limit - overlap))
+    for everywhere in range(_FIRST, len(KINDS) - 1):
+        cost, out = _cheapest(data, limit, overlap, fewest, everywhere)
+        # A way with a cut of a later kind costs its penalty and a piece for each of the fewest possible, at least.
+        if cost <= fewest + KINDS[everywhere][1]:
+            break
+    return out
+
+
+def _cheapest(data: bytes, limit: int, overlap: int, fewest: int, everywhere: int) -> tuple[float, list[tuple[int, int, str]]]:
+    n = len(data)
+    at, kind = _positions(data, limit - overlap - 3, everywhere)
     starts = np.maximum(at - overlap, 0)
     raw = np.frombuffer(data, dtype=np.uint8)
     for _ in range(3):
         starts = np.where((raw[np.minimum(starts, n - 1)] & 0xC0) == 0x80, starts - 1, starts)
-    fewest = -(-(n - overlap) // (limit - overlap))
     ideal = (n + (fewest - 1) * overlap) / fewest
     # State 0 is the start of the text, state i the cut at at[i-1].
     begin = np.concatenate(([0], starts)).astype(np.float64)
@@ -81,15 +91,16 @@ def cuts(data: bytes, limit: int, overlap: int) -> list[tuple[int, int, str]]:
         j = int(back[i])
         out.append((int(begin[j]), int(at[i - 1]), "end" if i == len(at) else KINDS[kind[i - 1]][0]))
         i = j
-    return out[::-1]
+    return float(cost[-1]), out[::-1]
 
 
 def split(df: DataFrame, key: str, text: str, limit: int = 3000, overlap: int = 300) -> DataFrame:
     """Pieces of the items over limit tokens: key, piece_no (from 1), start, n_tokens, boundary (at the end), piece.
 
     A token is a UTF-8 byte; pieces hold whole characters, have at most limit tokens and share overlap tokens with the one before
-    (up to 3 more where a character would be cut). Cuts fall between paragraphs, lines or sentences; within a stretch without any
-    of these that is longer than a piece may advance, between clauses, then words, then characters. Items of limit tokens or
+    (up to 3 more where a character would be cut). Cuts fall between paragraphs, lines, sentences, clauses, words or characters, whichever way is cheapest
+    by cuts(); clauses are only looked at where a bound on the cost doesn't rule them out, and words and characters only in stretches without any other end
+    that are longer than a piece may advance. Items of limit tokens or
     fewer, null and empty ones give no row; null keys and repeated rows are split like others. No shuffle: only oversized rows
     reach Python, each on its own, so no grouping can be skewed.
     """

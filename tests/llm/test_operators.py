@@ -131,6 +131,7 @@ def test_mix(spark):
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.3, 2), ("gone", 0.1, 4), (None, 0.1, 1), ("zero", None, None)], "source string, target_share double, max_repeats int")
     mix = mixing.Mix(with_extra(docs), targets, "doc", "source", "text")
     rep = {r.source: r for r in mix.report().collect()}
+    assert {r.source for r in mix.fell_short().collect()} == {s for s, r in rep.items() if r.short}
     assert set(rep) == {"big", "small", "gone", "zero"} and rep["gone"].short and rep["small"].short and not rep["big"].short and not rep["zero"].short
     assert rep["small"].sampled_tokens == 2 * rep["small"].tokens and rep["small"].most_copies == 2
     assert rep["big"].sampled_tokens == pytest.approx(0.5 * mix.total, rel=0.06) and rep["big"].most_copies == 1
@@ -163,7 +164,7 @@ def test_cuts_are_the_cheapest():
     rng = random.Random(2)
     text = "".join(rng.choice(["ab ", "cde. ", "f, ", "gh\n", "ij\n\n"]) for _ in range(60)).encode()
     limit, overlap = 50, 6
-    at, kind = splitting._positions(text, limit - overlap - 3)
+    at, kind = splitting._positions(text, limit - overlap - 3, 4)
     n = len(text)
     fewest = -(-(n - overlap) // (limit - overlap))
     ideal = (n + (fewest - 1) * overlap) / fewest
@@ -177,6 +178,11 @@ def test_cuts_are_the_cheapest():
     assert mine == pytest.approx(cost[n])
 
 
+def test_a_clause_may_save_a_piece():
+    text = (b"a" * 2000 + b". ") + b"".join(b"b" * 250 + b", " for _ in range(10)) + b"c. " + b"".join(b"d" * 300 + b", " for _ in range(3))
+    assert [w for _, _, w in splitting.cuts(text, 3000, 300)] == ["clause", "end"]
+
+
 def test_split(spark):
     df = spark.createDataFrame([("d", "x. " * 100), ("d", "x. " * 100), (None, "y" * 101), ("s", "z" * 100), ("n", None), ("e", "")], "doc string, text string")
     rows = splitting.split(with_extra(df), "doc", "text", 100, 10).collect()
@@ -209,6 +215,23 @@ def test_consensus_beats_the_vote(spark):
     assert users["u0"].reliability > 0.85 > 0.5 > users["u7"].reliability and all(r.low <= r.reliability <= r.high for r in users.values())
 
 
+def test_consensus_says_whether_it_settled(spark):
+    _, rows = crowd(3, items=40)
+    df = spark.createDataFrame(rows, "task string, item long, user string, label string")
+    with pytest.warns(UserWarning, match="not settled in 2 rounds"):
+        early = consensus.consensus(df, max_rounds=2)
+    assert (early.rounds, early.settled) == (2, False)
+    for most in (0, consensus.MOST_BROADCAST):
+        with pytest.raises(RuntimeError, match="not settled"):
+            consensus.consensus(df, max_rounds=2, strict=True, most_broadcast=most)
+    by_array, by_join = consensus.consensus(df), consensus.consensus(df, most_broadcast=0)
+    assert by_array.settled and by_join.settled and by_array.rounds == by_join.rounds
+    a, b = ({r.item: (r.label, r.n_answers, round(r.probability, 9)) for r in x.labels.collect()} for x in (by_array, by_join))
+    assert a == b
+    a, b = ({r.user: (r.n_answers, round(r.reliability, 9), round(r.low, 9)) for r in x.users.collect()} for x in (by_array, by_join))
+    assert a == b
+
+
 def test_latest_and_edge_cases(spark):
     rows = [("t", 1, "u", "a", 1, 1), ("t", 1, "u", "b", 2, 1), ("t", 1, "u", "b", 2, 1), ("t", 1, "v", "c", 2, 1), ("t", 1, "v", "d", 2, 2), ("t", 1, None, "x", 9, 9), ("t", 1, "w", None, 9, 9), ("t", None, "w", "x", 9, 9), ("t", 2, "w", "a", None, None)]
     df = spark.createDataFrame(rows, "task string, item long, user string, label string, w int, tie int")
