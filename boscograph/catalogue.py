@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boscograph.plans import documents, graphs, relating
+from boscograph.plans import documents, graphs, relating, reviews
 
-QUERIES = {**documents.QUERIES, **relating.QUERIES, **graphs.QUERIES}
-SQL = {**documents.SQL, **relating.SQL, **graphs.SQL}
+QUERIES = {**documents.QUERIES, **relating.QUERIES, **graphs.QUERIES, **reviews.QUERIES}
+SQL = {**documents.SQL, **relating.SQL, **graphs.SQL, **reviews.SQL}

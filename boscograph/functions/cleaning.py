@@ -155,3 +155,22 @@ def rewrite_table_text(c: Column) -> Column:
     heads, cells = F.regexp_extract_all(c, pattern, 1), F.regexp_extract_all(c, pattern, 2)
     parts = F.filter(F.zip_with(heads, cells, lambda h, x: F.when((outer(h) != "") & (outer(x) != ""), F.concat(outer(h), F.lit("是"), outer(x)))), lambda x: x.isNotNull())
     return F.when((F.size(heads) > 1) & (F.size(parts) > 0), F.concat(F.array_join(parts, "，"), F.lit("。"))).otherwise(c)
+
+
+def simplified(c: Column, traditional: str, simple: str) -> Column:
+    """Characters of `traditional` as those at the same place in `simple`; the table is the caller's."""
+    return F.translate(c, traditional, simple)
+
+
+def markdown(text: Column) -> Column:
+    """Markdown as plain lines: headings marked by 【标题】, rows of tables as their cells, links as their text; code, formulas, pictures, rules of tables and blank lines dropped."""
+    body = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?(?:```|$)", ""), r"(?s)\$\$.*?\$\$", "")
+
+    def line(x: Column) -> Column:
+        x = outer(x)
+        title = F.regexp_extract(x, r"^#{1,6}\s+(.*)$", 1)
+        cells = F.filter(F.transform(F.split(x, r"\|"), outer), lambda c: c != "")
+        row = x.startswith("|") & x.endswith("|") & (F.length(x) > 1)
+        return F.when(title != "", F.concat(F.lit("【标题】"), outer(title))).when(row, F.when(~x.contains("-|"), F.array_join(cells, "，")).otherwise("")).otherwise(outer(inline(x)))
+
+    return F.array_join(F.filter(F.transform(F.split(body, r"\r\n|\r|\n"), line), lambda x: x != ""), "\n")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boscograph.sources import store
+
 SCHEMA = (
     "feedback_id string, feedback_type string, timestamp string, user_id string, item_id bigint, comment string, "
     "data struct<original: struct<node_1: string, node_2: string, relation_type: string>, correction: struct<correct_direction: string, corrected_node_1: string, corrected_node_2: string>, "
@@ -53,3 +58,47 @@ def training_pairs(feedback: DataFrame) -> DataFrame:
 
 def recent(feedback: DataFrame, n: int = 10) -> DataFrame:
     return feedback.orderBy(F.desc("timestamp"), "feedback_id").limit(n)
+
+
+#: What a report of each kind must name.
+PARTS = {
+    "relation_direction_error": ("node_1", "node_2", "relation_type", "correct_direction"),
+    "relation_type_error": ("node_1", "node_2", "wrong_relation", "correct_relation"),
+    "entity_merge": ("entity_1", "entity_2", "canonical_name"),
+    "missing_relation": ("node_1", "node_2", "relation_type"),
+}
+
+
+def reported(spark: SparkSession, reports: list[dict]) -> DataFrame:
+    """Feedback rows of reports, dicts with feedback_type, the parts of its kind, and user_id (by default anonymous), comment, item_id where they are known.
+
+    Each has an id and a time of its own. Of a direction error the corrected nodes are those given, swapped if correct_direction is `reverse`. An unknown kind or a missing part is an error.
+    """
+    rows = []
+    for r in reports:
+        kind = r.get("feedback_type")
+        if kind not in PARTS:
+            raise ValueError(f"unknown kind of feedback: {kind}")
+        missing = [p for p in PARTS[kind] if r.get(p) is None]
+        if missing:
+            raise ValueError(f"{kind} without {', '.join(missing)}")
+        data = {p: r[p] for p in PARTS[kind]}
+        if kind == "relation_direction_error":
+            ends = (r["node_1"], r["node_2"])
+            first, second = ends[::-1] if r["correct_direction"] == "reverse" else ends
+            data = {"original": {p: r[p] for p in ("node_1", "node_2", "relation_type")}, "correction": {"correct_direction": r["correct_direction"], "corrected_node_1": first, "corrected_node_2": second}}
+        now = datetime.now(timezone.utc)
+        rows.append({"feedback_id": f"fb_{uuid.uuid4().hex}", "feedback_type": kind, "timestamp": now.replace(tzinfo=None).isoformat(), "user_id": r.get("user_id") or "anonymous", "item_id": r.get("item_id"), "comment": r.get("comment") or "", "data": data, "received_at": now})
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def record(spark: SparkSession, path: str, reports: list[dict]) -> list[str]:
+    """Appends reports to the JSON lines under path; returns their ids."""
+    rows = reported(spark, reports).coalesce(1).collect()
+    store.append_json_lines(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    return [r["feedback_id"] for r in rows]
+
+
+def merges(feedback: DataFrame) -> DataFrame:
+    """entity_1, entity_2, canonical_name, n of the merges asked for."""
+    return feedback.where("feedback_type = 'entity_merge'").groupBy("data.entity_1", "data.entity_2", "data.canonical_name").agg(F.count("*").alias("n"))

@@ -216,6 +216,15 @@ def louvain(edges: DataFrame, nodes: DataFrame, levels: int = 100, rounds: int =
     raise RuntimeError(f"communities still gain after {levels} levels")
 
 
+def leiden(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """name, community by louvain(), refined: a community whose members don't hang together by links inside it is parted into the components that do, which can only raise modularity. The name is a member's."""
+    found = cut(louvain(edges, nodes, resolution=resolution))
+    at = found.select("name", "community")
+    pairs = simple_pairs(edges).join(at.select(F.col("name").alias("a"), F.col("community").alias("x")), "a").join(at.select(F.col("name").alias("b"), F.col("community").alias("y")), "b")
+    inside = pairs.where("x = y").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight"))
+    return components(inside, found.select("name")).select("name", F.col("component").alias("community"))
+
+
 def _quality(around: DataFrame, label: DataFrame, loops: DataFrame | None, m2: float, resolution: float) -> float:
     """Modularity of label (v, k, c); loops (v, k) is twice the weight inside of each v."""
     ends = label.select("v", "c"), label.select(F.col("v").alias("u"), F.col("c").alias("d"))

@@ -225,7 +225,7 @@ def merge_candidates(concepts: DataFrame, least: float = 0.85, synonyms: dict =
     """
     c = cut(concepts.where("entity is not null").select("ord", "entity", F.coalesce("category", F.lit(V.OTHER_CATEGORY)).alias("category"), F.lower("entity").alias("s")))
     other = F.lit(V.OTHER_CATEGORY)
-    sizes = [r[0] for r in c.where("length(s) >= 3").select(F.length("s")).distinct().orderBy(F.length("s")).limit(1000).collect()]
+    sizes = [r[0] for r in c.where("length(s) >= 3").select(F.length("s")).distinct().orderBy(F.length("s")).collect()]  # lengths of names: a few hundred numbers at most
     inside = c.select(F.col("ord").alias("o2"), F.col("entity").alias("e2"), F.col("category").alias("c2"), F.col("s").alias("s2"))
     runs = inside.withColumn("n", F.explode(F.array(*map(F.lit, sizes or [0])))).where("n <= length(s2) and n > 0")
     runs = runs.withColumn("s", F.explode(F.transform(F.sequence(F.lit(1), F.length("s2") - F.col("n") + 1), lambda i: F.substring(F.col("s2"), i, F.col("n"))))).distinct()
@@ -343,3 +343,25 @@ def link_entities(entities: DataFrame, edges: DataFrame, standard: DataFrame) ->
         edges = edges.join(std, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("standard", end)).drop("_n", "standard")
     rel = edges.groupBy("head", "relation", "tail").agg(F.min("ord").alias("ord"))
     return numbered(once, ["first", "type"], "id").select("id", "name", "type"), rel
+
+
+def link_kb(entities: DataFrame, kb: DataFrame | None) -> DataFrame:
+    """Entities (name, ...) with kb_id of a knowledge base (name, id), null where it holds none or is missing; the smallest id of a name."""
+    if kb is None:
+        return entities.withColumn("kb_id", F.lit(None).cast("string"))
+    ids = kb.where("name is not null").groupBy(F.col("name").alias("_n")).agg(F.min(F.col("id").cast("string")).alias("kb_id"))
+    return entities.join(ids, entities["name"] == F.col("_n"), "left").drop("_n")
+
+
+def link_flow(entities: DataFrame, edges: DataFrame, standard: DataFrame, weight: dict[str, int] = V.TYPE_WEIGHT, kb: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Standard names, ids, and importance of entities in one go: (id, name, type, importance, kb_id) and the rewritten edges.
+
+    importance is the number of the name's rewritten edges plus the weight of its type (1 for others).
+    """
+    from boscograph.operators.relations import mapped
+
+    linked, rel = link_entities(entities, edges, standard)
+    ends = rel.select(F.explode(F.array("head", "tail")).alias("_e")).groupBy("_e").agg(F.count("*").alias("_k"))
+    scored = linked.join(ends, linked["name"] == F.col("_e"), "left")
+    score = F.coalesce("_k", F.lit(0)) + mapped(F.lower("type"), {k.lower(): v for k, v in weight.items()}, F.lit(1))
+    return link_kb(scored.select("id", "name", "type", score.cast("long").alias("importance")), kb), rel

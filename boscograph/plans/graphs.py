@@ -138,11 +138,6 @@ def _seeds(s):
     return s.createDataFrame([(SEED,)], "name string")
 
 
-def _relation(s, d, rel):
-    """The relations that the SQL of a walk asks for; kg_..._whole walk over all of them."""
-    return lens.edges(s, d).where(F.col("rel_type") == rel)
-
-
 def _neighborhood(s, e):
     _, on = graph.neighbourhood(e, _seeds(s), 2)
     return on.groupBy("src", "dst").agg(F.count("*").alias("n"))
@@ -154,34 +149,18 @@ def _expand_induced(s, d, e):
 
 
 def kg_khop(s, d):
-    return graph.reachable(_relation(s, d, "feeds_on"), _seeds(s), 2)
-
-
-def kg_khop_whole(s, d):
     return graph.reachable(lens.edges(s, d), _seeds(s), 2)
 
 
 def kg_neighborhood(s, d):
-    return _neighborhood(s, _relation(s, d, "carried_by"))
-
-
-def kg_neighborhood_whole(s, d):
     return _neighborhood(s, lens.edges(s, d))
 
 
 def kg_expand_induced(s, d):
-    return _expand_induced(s, d, _relation(s, d, "feeds_on"))
-
-
-def kg_expand_induced_whole(s, d):
     return _expand_induced(s, d, lens.edges(s, d))
 
 
 def kg_shortest_path(s, d):
-    return graph.shortest_path(_relation(s, d, "aggravates"), SEED, "scarlet needle scorch", 5)
-
-
-def kg_shortest_path_whole(s, d):
     return graph.shortest_path(lens.edges(s, d), SEED, "scarlet needle scorch", 5)
 
 
@@ -192,17 +171,8 @@ def kg_two_hop(s, d):
     return a.join(b, "b").where("a <> c").groupBy("a", "c").agg(F.count("*").alias("n_ways"))
 
 
-def _strong(s, d):
-    """Pairs that several relations join: the part of the graph that the SQL of the six queries below asks for; _whole() has all of it."""
-    return _simple(s, d, 4)
-
-
 def _whole(s, d):
-    return _simple(s, d, 1)
-
-
-def _simple(s, d, least):
-    return graph.simple_pairs(lens.edges(s, d)).where(F.col("n") >= least).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight"))
+    return graph.simple_pairs(lens.edges(s, d)).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight"))
 
 
 def _component_sizes(s, d, e):
@@ -236,10 +206,6 @@ def _degree_centrality(e):
 
 
 def kg_components(s, d):
-    return _component_sizes(s, d, _strong(s, d))
-
-
-def kg_components_whole(s, d):
     return _component_sizes(s, d, _whole(s, d))
 
 
@@ -254,42 +220,22 @@ def kg_louvain(s, d):
 
 
 def kg_modularity(s, d):
-    return _component_modularity(_strong(s, d))
-
-
-def kg_modularity_whole(s, d):
     return _component_modularity(_whole(s, d))
 
 
 def kg_community_summary(s, d):
-    return _component_summaries(s, d, _strong(s, d))
-
-
-def kg_community_summary_whole(s, d):
     return _component_summaries(s, d, _whole(s, d))
 
 
 def kg_themes(s, d):
-    return _themes(_strong(s, d))
-
-
-def kg_themes_whole(s, d):
     return _themes(_whole(s, d))
 
 
 def kg_clustering(s, d):
-    return _clustering(_strong(s, d))
-
-
-def kg_clustering_whole(s, d):
     return _clustering(_whole(s, d))
 
 
 def kg_centrality_degree(s, d):
-    return _degree_centrality(_strong(s, d))
-
-
-def kg_centrality_degree_whole(s, d):
     return _degree_centrality(_whole(s, d))
 
 
@@ -335,10 +281,6 @@ def _search_context(s, e):
 
 
 def kg_search_context(s, d):
-    return _search_context(s, _relation(s, d, "inhibits"))
-
-
-def kg_search_context_whole(s, d):
     return _search_context(s, lens.edges(s, d))
 
 
@@ -384,16 +326,16 @@ def kg_daily_feedback(s, d):
 QUERIES = {k: v for k, v in globals().items() if k.startswith("kg_")}
 
 _E, _N = lens.E, lens.NODES
-_STRONG = f"{_E}, {lens.PAIRS}, st as (select a as src, b as dst, w as weight from pairs where n >= 4)"
+_SIMPLE = f"{_E}, {lens.PAIRS}, st as (select a as src, b as dst, w as weight from pairs)"
 _BOTH = "bo as (select src as name, dst as other from st union all select dst, src from st)"
 _F = "f as (select * from feedback where feedback_id is not null qualify row_number() over (partition by feedback_id order by received_at) = 1)"
-_WALK = "recursive {E}, x as (select src as a, dst as b from e where rel_type = '{R}' and src <> dst union select dst, src from e where rel_type = '{R}' and src <> dst), w(name, dist) as (select '{S}', 0 union select b, dist + 1 from w join x on a = name where dist < {H})"
-_COMP = _STRONG + ", " + _BOTH + ", c0 as (select distinct name from bo), cc(name, r) as (select name, name from c0 union select bo.name, cc.r from cc join bo on bo.other = cc.name), comp as (select name, min(r) as component from cc group by name)"
+_WALK = "recursive {E}, x as (select src as a, dst as b from e where src <> dst union select dst, src from e where src <> dst), w(name, dist) as (select '{S}', 0 union select b, dist + 1 from w join x on a = name where dist < {H})"
+_COMP = _SIMPLE + ", " + _BOTH + ", c0 as (select distinct name from bo), cc(name, r) as (select name, name from c0 union select bo.name, cc.r from cc join bo on bo.other = cc.name), comp as (select name, min(r) as component from cc group by name)"
 _Q = "[" + ", ".join(f"{float((i * 7) % 11 - 5)}" for i in range(64)) + "]::double[]"
 
 
-def _walk(rel: str, hops: int) -> str:
-    return "with " + _WALK.format(E=_E, R=rel, S=SEED, H=hops)
+def _walk(hops: int) -> str:
+    return "with " + _WALK.format(E=_E, S=SEED, H=hops)
 
 
 SQL = {
@@ -428,11 +370,11 @@ SQL = {
     "kg_incident": f"with {_E}, {lens.ENDS} select name, rel_type, other, count(*) as n, max(weight) as weight from ends where name = '{SEED}' group by all order by weight desc, n desc, rel_type, other limit 50",
     "kg_edges_of_type": f"with {_E}, {lens.C}, {lens.T} select src, category as src_type, dst, count(*) as n from e join t on t.entity = src where rel_type = 'carried_by' group by all",
     "kg_triple_sample": f"with {_E} select distinct src, rel_type, dst from e order by src, rel_type, dst limit 100",
-    "kg_khop": _walk("feeds_on", 2) + " select name, min(dist)::int as dist from w group by name",
-    "kg_neighborhood": _walk("carried_by", 2) + ", i as (select name from w group by name having min(dist) < 2) select src, dst, count(*) as n from e where rel_type = 'carried_by' and (src in (select name from i) or dst in (select name from i)) group by all",
-    "kg_expand_induced": _walk("feeds_on", 1) + " select rel_type, count(*) as n, count(distinct src) as n_src from e where src in (select name from w) and dst in (select name from w) group by all",
+    "kg_khop": _walk(2) + " select name, min(dist)::int as dist from w group by name",
+    "kg_neighborhood": _walk(2) + ", i as (select name from w group by name having min(dist) < 2) select src, dst, count(*) as n from e where (src in (select name from i) or dst in (select name from i)) group by all",
+    "kg_expand_induced": _walk(1) + " select rel_type, count(*) as n, count(distinct src) as n_src from e where src in (select name from w) and dst in (select name from w) group by all",
     "kg_shortest_path": f"""
-        with recursive {_E}, x as (select src as a, dst as b from e where rel_type = 'aggravates' and src <> dst union select dst, src from e where rel_type = 'aggravates' and src <> dst),
+        with recursive {_E}, x as (select src as a, dst as b from e where src <> dst union select dst, src from e where src <> dst),
              q(name, dist, path) as (select '{SEED}', 0, ['{SEED}'] union all select b, q.dist + 1, list_append(q.path, b) from q join x on a = q.name where q.dist < 3 and not list_contains(q.path, b) and not list_contains(q.path, 'scarlet needle scorch')),
              best as (select path from q where name = 'scarlet needle scorch' order by dist, path limit 1)
         select (i - 1)::int as step, path[i] as name from best, unnest(range(1, len(path) + 1)) u(i)""",
@@ -451,18 +393,18 @@ SQL = {
         select component as community, upper(coalesce(theme, 'mixed')) || ' 相关知识 (' || size || ' 概念)' as title, coalesce(core, '') as core_concepts, coalesce(theme, 'mixed') as theme, size from z left join th using (component) left join co using (component)""",
     "kg_themes": f"with recursive {_COMP} select name, 'BELONGS_TO' as rel_type, 'theme: ' || component as theme from comp",
     "kg_clustering": f"""
-        with {_STRONG}, {_BOTH}, dg as (select name, count(*) as degree from bo group by name),
+        with {_SIMPLE}, {_BOTH}, dg as (select name, count(*) as degree from bo group by name),
              tr as (select x.src as a, x.dst as b, y.dst as c from st x join st y on x.dst = y.src join st z on z.src = x.src and z.dst = y.dst),
              pn as (select name, count(*) as k from (select a as name from tr union all select b from tr union all select c from tr) group by name)
         select name, degree, coalesce(k, 0) as triangles, case when degree > 1 then round(2 * coalesce(k, 0) / (degree * (degree - 1)), 6) else 0 end as clustering from dg left join pn using (name)""",
-    "kg_centrality_degree": f"with {_STRONG}, {_BOTH}, dg as (select name, count(*) as k from bo group by name) select name, round(k / greatest((select count(*) from dg) - 1, 1), 6) as degree_centrality from dg",
+    "kg_centrality_degree": f"with {_SIMPLE}, {_BOTH}, dg as (select name, count(*) as k from bo group by name) select name, round(k / greatest((select count(*) from dg) - 1, 1), 6) as degree_centrality from dg",
     "kg_export_sorted": f"with {_E}, {lens.C}, {lens.T} select src, coalesce(a.category, 'Other') as src_type, rel_type, dst, coalesce(b.category, 'Other') as dst_type, count(*) as n from e left join t a on a.entity = src left join t b on b.entity = dst group by all order by src, rel_type, dst",
     "kg_bulk_relations": f"with {_E}, {lens.C}, i as (select entity, arg_max(concept_id, ord) as id from c group by entity) select a.id as head_id, rel_type as relation, b.id as tail_id, count(*) as n from e join i a on a.entity = src join i b on b.entity = dst group by all",
     "kg_vector_topk": f"select vec_id, round(case when list_dot_product(vector::double[], vector::double[]) > 0 then list_cosine_similarity(vector::double[], {_Q}) else 0 end, 6) as score from concept_vectors where len(vector) = 64 order by score desc, vec_id limit 10",
     "kg_local_search": f"""
         with {_E}, {lens.ENDS}, k as (select vec_id, entity, round(case when list_dot_product(vector::double[], vector::double[]) > 0 then list_cosine_similarity(vector::double[], {_Q}) else 0 end, 6) as score from concept_vectors where len(vector) = 64 and entity is not null order by score desc, vec_id limit 20),
              s as (select distinct entity as name from k) select name, 0 as dist from s union all select distinct other, 1 from ends join s using (name) where other <> name and other not in (select name from s)""",
-    "kg_search_context": _walk("inhibits", 1) + """, f as (select name, min(dist) as dist from w group by name), r as (select src, rel_type, dst, max(weight) as weight from e where rel_type = 'inhibits' and src in (select name from f) and dst in (select name from f) group by all),
+    "kg_search_context": _walk(1) + """, f as (select name, min(dist) as dist from w group by name), r as (select src, rel_type, dst, max(weight) as weight from e where src in (select name from f) and dst in (select name from f) group by all),
              l as ((select 0 as part, dist::double as o, '- ' || name as line from f order by dist, name limit 15) union all (select 1, -weight, src || ' -[' || rel_type || ']-> ' || dst from r order by weight desc, src, rel_type, dst limit 20))
         select (row_number() over (order by part, o, line))::int as line_no, line from l""",
     "kg_feedback_report": f"with {_F} select 'total' as part, '' as key, count(*) as n from f union all select 'type', coalesce(feedback_type, ''), count(*) from f group by all union all select 'user', coalesce(user_id, ''), count(*) from f group by all",

@@ -77,12 +77,21 @@ def property_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.withColumn("width", ontology.styled(F.col("rel_type"), V.RELATION_STYLE, 1)).withColumn("label", ontology.styled(F.col("rel_type"), V.RELATION_STYLE, 2))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, algorithm: str = "louvain") -> DataFrame:
-    """name, community by louvain (leiden asks for the same objective and gets it), label_propagation or connected components."""
-    if algorithm in ("louvain", "leiden"):
-        return graph.louvain(edges, nodes)
-    if algorithm == "label_propagation":
-        return graph.label_propagation(edges, nodes)
-    if algorithm == "components":
-        return graph.components(edges, nodes).withColumnRenamed("component", "community")
-    raise ValueError(algorithm)
+#: What stands in for an algorithm that fails.
+FALLBACK = {"leiden": "louvain", "louvain": "components", "label_propagation": "components"}
+
+
+def communities(edges: DataFrame, nodes: DataFrame, algorithm: str = "louvain", fallback: bool = False) -> DataFrame:
+    """name, community by louvain, leiden (louvain, refined), label_propagation or connected components. With fallback, an algorithm that doesn't settle gives way to the next of FALLBACK."""
+    ways = {
+        "louvain": graph.louvain, "leiden": graph.leiden, "label_propagation": graph.label_propagation,
+        "components": lambda e, n: graph.components(e, n).withColumnRenamed("component", "community"),
+    }
+    if algorithm not in ways:
+        raise ValueError(algorithm)
+    try:
+        return ways[algorithm](edges, nodes)
+    except RuntimeError:
+        if not fallback or algorithm not in FALLBACK:
+            raise
+        return communities(edges, nodes, FALLBACK[algorithm], True)

@@ -151,11 +151,6 @@ def kg_hybrid(s, d):
 
 
 def kg_tfidf(s, d):
-    """On the terms, as its SQL; kg_tfidf_whole is on the names of the concepts."""
-    return _gram_weights(table(s, d, "ref_terms").select(F.lower("term").alias("name")).where("name is not null").distinct())
-
-
-def kg_tfidf_whole(s, d):
     return _gram_weights(lens.concepts(s, d).select(F.col("entity").alias("name")).distinct())
 
 
@@ -236,7 +231,7 @@ def kg_seed_clusters(s, d):
 
 def kg_alias_normalise(s, d):
     names = table(s, d, "ref_terms").select(F.col("term").alias("name"))
-    terms = {r.term: (r.term_zh,) for r in table(s, d, "ref_terms").where("term is not null and term_zh is not null").orderBy("term_id").limit(1500).collect()}
+    terms = {r.term: (r.term_zh,) for r in table(s, d, "ref_terms").where("term is not null and term_zh is not null").collect()}  # at most MOST_ALIASES of them
     noisy = table(s, d, "concept_vectors").select(F.col("entity").alias("name"))
     return resolve.alias_normalise(names.unionByName(noisy), "name", terms).where("name <> standard")
 
@@ -347,8 +342,8 @@ SQL = {
              k as (select vec_id, case when list_dot_product(x, x) * list_dot_product(y, y) > 0 then list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)) else 0 end as dense,
                           case when len(p) * len(q) > 0 then len(list_intersect(p, q)) / sqrt(len(p) * len(q)) else 0 end as sparse from j)
         select vec_id, round(dense, 6) as dense, round(sparse, 6) as sparse, round(0.7 * dense + 0.3 * sparse, 6) as hybrid from k""",
-    "kg_tfidf": """
-        with t as (select distinct lower(term) as name from ref_terms where term is not null), u as (select name, regexp_replace(name, '\\s+', ' ', 'g') as x from t),
+    "kg_tfidf": f"""
+        with {lens.C}, t as (select distinct entity as name from c), u as (select name, regexp_replace(name, '\\s+', ' ', 'g') as x from t),
              g as (select name, substr(x, i, 2) as gram from (select name, x, unnest(range(1, length(x))) as i from u) union all select name, substr(x, i, 3) from (select name, x, unnest(range(1, length(x) - 1)) as i from u)),
              f as (select name, gram, count(*) as tf from g group by all), p as (select gram, sum(tf) as n, count(*) as df from f group by gram order by n desc, gram limit 100),
              w as (select name, gram, tf * (ln((1 + (select count(*) from t)) / (1 + df)) + 1) as w from f join p using (gram)), z as (select name, sqrt(sum(w * w)) as z from w group by name)

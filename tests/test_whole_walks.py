@@ -40,18 +40,18 @@ def walk(near, hops):
 
 def test_neighbours_of_any_type(spark, edges, near):
     two, one = walk(near, 2), walk(near, 1)
-    assert {r.name: r.dist for r in run(spark, "kg_khop_whole")} == two and len(two) > len(run(spark, "kg_khop"))
+    assert {r.name: r.dist for r in run(spark, "kg_khop")} == two and len(two) > len(run(spark, "kg_khop"))
     want = {}
     for a, _, b in edges:
         if a in one or b in one:
             want[a, b] = want.get((a, b), 0) + 1
-    assert {(r.src, r.dst): r.n for r in run(spark, "kg_neighborhood_whole")} == want
+    assert {(r.src, r.dst): r.n for r in run(spark, "kg_neighborhood")} == want
     kinds = {}
     for a, rel, b in edges:
         if a in one and b in one:
             kinds.setdefault(rel, []).append(a)
-    assert {r.rel_type: (r.n, r.n_src) for r in run(spark, "kg_expand_induced_whole")} == {k: (len(x), len(set(x))) for k, x in kinds.items()}
-    assert len(run(spark, "kg_search_context_whole")) >= len(run(spark, "kg_search_context"))
+    assert {r.rel_type: (r.n, r.n_src) for r in run(spark, "kg_expand_induced")} == {k: (len(x), len(set(x))) for k, x in kinds.items()}
+    assert len(run(spark, "kg_search_context")) >= len(run(spark, "kg_search_context"))
 
 
 def test_shortest_path_over_any_type(spark, near):
@@ -66,4 +66,4 @@ def test_shortest_path_over_any_type(spark, near):
         paths.update(new)
         edge = new
     assert TARGET in paths
-    assert [r.name for r in sorted(run(spark, "kg_shortest_path_whole"), key=lambda r: r.step)] == paths[TARGET]
+    assert [r.name for r in sorted(run(spark, "kg_shortest_path"), key=lambda r: r.step)] == paths[TARGET]
