@@ -416,4 +416,24 @@ def test_scans(spark):
 
 
 def test_misreads():
-    assert scans.misreads("modern", "rnodern") == 1 and scans.misreads("the", "tbe") == 1 and scans.misreads("the", "xhe") == 99 and scans.misreads("w", "vv") == 1 and scans.misreads("", "") == 0
+    ways = [scans.misread(*x) for x in (("modern", "rnodern"), ("the", "tbe"), ("the", "xhe"), ("w", "vv"), ("", ""))]
+    assert [w if w is None else len(w) for w in ways] == [1, 1, None, 1, 0] and ways[0] == (("m", "rn"),)
+
+
+def test_confusions_are_estimated():
+    words = [("1", w, "", 5000) for w in ("hollow", "modern", "seedling", "canker", "needle")]
+    seen = [("1", "ho1low", "", 40), ("1", "hol1ow", "", 35), ("1", "seed1ing", "", 45), ("1", "rnodern", "", 2)]
+    m = scans.Model(words + seen, 2)
+    assert m.cost["l", "1"] > scans.MISREAD > m.cost["n", "ri"] and m.cost["l", "1"] > m.cost["m", "rn"]
+    again = scans.Model.of(m.parts())
+    assert again.options("ho1low") == m.options("ho1low") and again.decode(["the", "seed1ing"]) == ["the", "seedling"]
+    assert scans.Model([], 2).decode(["word"]) == ["word"]
+
+
+def test_neighbouring_characters_are_judged_together():
+    text = "记录树干内侧白色菌丝"
+    rows = Counter(c for _ in range(50) for c in scans._contexts(text))
+    m = scans.Model([("z", c, "", n) for c, n in rows.items()], 2)
+    wrong = "记录村千内侧白色菌丝"  # two misread characters side by side
+    assert [m.judged(("  " + wrong + "  ")[i : i + 5]) for i, ch in enumerate(wrong) if ch in "村千"] == ["树", "干"]
+    assert all(m.judged(c) == c[2] for c in rows)
