@@ -5,8 +5,6 @@ from oracle import DATA, connect, rows_of_spark, rows_of_sql
 
 from boscograph import catalogue
 
-SLOW = {"kg_louvain"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -18,7 +16,7 @@ def test_agrees_with_sql(spark, duck, name):
     assert rows_of_spark(catalogue.QUERIES[name](spark, f"{DATA}/sf0.001")) == rows_of_sql(duck, catalogue.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_runs(spark, name):
     catalogue.QUERIES[name](spark, f"{DATA}/sf0.001").collect()
 
