@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -12,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boscograph.functions import vocabulary as V
-from boscograph.operators.relations import mapped
-from boscograph.session import cut
+from boscograph.operators.relations import mapped, numbered
+from boscograph.session import cut, cut_table
 
 
 def canonical(name: Column, extra: dict[str, str] | None = None) -> Column:
@@ -79,44 +80,156 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def matched(a: list[str], b: list[str]) -> np.ndarray:
+    """Matching characters of each pair, as ratio() counts them, for many pairs at once: the longest common run (the first of ties), then the same left and right of it."""
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    total = np.zeros(len(a), dtype=np.int64)
+    slow = (np.maximum(la, lb) >= 200) | np.array(["\0" in x or "\0" in y for x, y in zip(a, b)], dtype=bool)  # SequenceMatcher has rules of its own for long texts
+    for i in np.flatnonzero(slow):
+        total[i] = sum(m.size for m in SequenceMatcher(None, a[i], b[i]).get_matching_blocks())
+    pair = np.flatnonzero(~slow & (la > 0) & (lb > 0))
+    if not len(pair):
+        return total
+    wide = max(la[pair].max(), lb[pair].max())
+    code = lambda names: np.array(["" if z else x for x, z in zip(names, slow)], dtype=f"U{wide}").view(np.uint32).reshape(len(names), wide)
+    x, y, zero = code(a), code(b), np.zeros(len(pair), dtype=np.int64)
+    todo = [(pair, zero, la[pair], zero, lb[pair])]
+    while todo:
+        pair, a0, a1, b0, b1 = (np.concatenate(t) for t in zip(*todo))
+        todo = []
+        order = np.lexsort((b1 - b0, a1 - a0))
+        for at in range(0, len(order), 4096):
+            p, i0, i1, j0, j1 = (t[order[at : at + 4096]] for t in (pair, a0, a1, b0, b1))
+            ia, jb = i0 + np.arange((i1 - i0).max())[:, None], j0 + np.arange((j1 - j0).max())[:, None]
+            u = np.where(ia < i1, x[p, np.minimum(ia, wide - 1)], 0xFFFFFFFF)
+            v = np.where(jb < j1, y[p, np.minimum(jb, wide - 1)], 0)
+            old, new = np.zeros((len(v) + 1, len(p)), dtype=np.uint8), np.zeros((len(v) + 1, len(p)), dtype=np.uint8)
+            place = (255 - np.arange(len(v), dtype=np.uint16))[:, None]
+            best, end = np.zeros(len(p), dtype=np.uint16), np.zeros(len(p), dtype=np.int64)
+            for i in range(len(u)):
+                np.add(old[:-1], 1, out=new[1:])
+                new[1:] *= v == u[i]
+                run = ((new[1:].astype(np.uint16) << 8) | place).max(0)  # the longest run that ends here, the first of ties
+                up = run >> 8 > best >> 8
+                best, end = np.where(up, run, best), np.where(up, i, end)
+                old, new = new, old
+            k = (best >> 8).astype(np.int64)
+            i, j = i0 + end - k + 1, j0 + 255 - (best & 255).astype(np.int64) - k + 1
+            total += np.bincount(p, k, len(total)).astype(np.int64)
+            for t in ((p, i0, i, j0, j), (p, i + k, i1, j + k, j1)):
+                more = (k > 0) & (t[1] < t[2]) & (t[3] < t[4])
+                if more.any():
+                    todo.append(tuple(c[more] for c in t))
+    return total
+
+
+def _signatures(names: list[str]) -> np.ndarray:
+    """128 bits of each name: every letter, repeated ones told apart, turns one bit. Names that differ in d letters differ in d bits at most."""
+    known: dict[tuple[str, int], int] = {}
+    out = []
+    for s in names:
+        seen: dict[str, int] = {}
+        bits = 0
+        for ch in s:
+            n = seen[ch] = seen.get(ch, 0) + 1
+            if (bit := known.get((ch, n))) is None:
+                h = (ord(ch) * 2654435761 + n * 3928791) % (1 << 32)
+                h = (h ^ (h >> 15)) * 2246822519 % (1 << 32)
+                bit = known[ch, n] = 1 << ((h ^ (h >> 13)) % 128)
+            bits ^= bit
+        out.append((bits & (1 << 64) - 1, bits >> 64))
+    return np.array(out, dtype=np.uint64).reshape(-1, 2)
+
+
+def _near(x: tuple, y: tuple | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in the chunks x and y (within x if y is None) of names of a group whose letters and lengths allow a ratio of `least`; chunks are sorted by group and length."""
+    runs: dict[str, list] = {}
+    for g, n, a, b in (y or x)[3]:
+        runs.setdefault(g, []).append((n, a, b))
+    u, v = np.ascontiguousarray(x[2].T), np.ascontiguousarray((y or x)[2].T)
+    for g, la, a0, a1 in x[3]:
+        for lb, b0, b1 in runs.get(g, ()):
+            if y is None and b1 <= a0 or min(la, lb) * (2 - least) < max(la, lb) * least - 1e-9:
+                continue
+            most = int((1 - least) * (la + lb) + 1e-9)  # letters that may stay unmatched
+            for i in range(a0, a1, 64):
+                one = u[0, i : min(i + 64, a1), None]
+                for j in range(b0, b1, 2048):
+                    near = np.flatnonzero((np.bitwise_count(one ^ v[0, j : min(j + 2048, b1)]) <= most).ravel())
+                    p, q = np.divmod(near, min(2048, b1 - j))
+                    p, q = p + i, q + j
+                    ok = np.bitwise_count(u[0, p] ^ v[0, q]) + np.bitwise_count(u[1, p] ^ v[1, q]) <= most
+                    if y is None:
+                        ok &= p < q
+                    if ok.any():
+                        yield p[ok], q[ok]
+
+
+#: Names that a chunk of similar_pairs() holds, at least and at most.
+CHUNK = 4096, 32768
+
+
 def similar_pairs(df: DataFrame, key: str, name: str, least: float = 0.85, within: str | None = None) -> DataFrame:
     """(a, b, na, nb, ratio) for keys a < b whose names, in lower case, match by `least` or more; within: only in the same group.
 
-    Exact and without laying out all pairs. Of a name, len_a - M characters stay unmatched, M being at least least * (len_a + len_b) / 2. Each
-    spoils at most two of its pairs of letters, and each unmatched one of the other name at most one; the sum is largest for the shortest or the longest
-    other name. With n pairs spoilt at most, two similar names share one of their n + 1 rarest pairs, by which they are joined. Names so
-    short that no pair need be left are also joined, among themselves, by their rarest letters. Those that pass the test of lengths
-    are compared in batches.
+    Exact, and no pair is laid out that isn't returned. Names are numbered by group and length and dealt into chunks; chunks of a group whose lengths
+    can match meet in a task. There 128 bits made of the letters rule out nearly all pairs: letters in only one of two names can't be matched, and each
+    of them turns one bit. The rest are compared, many at once. Time grows with the square of the names of a group (about 10 ns for a pair of fitting lengths),
+    shuffled bytes with the names times chunks.
     """
-    own = df.select(F.col(key).alias("k"), F.lower(F.col(name)).alias("s"), (F.col(within) if within else F.lit("")).alias("g")).where("s is not null and k is not null")
-    same = own.groupBy("s", "g").agg(F.min("k").alias("k")).where("length(s) > 0")  # equal names are compared once
-    size = F.length("s")
-    low, high = F.ceil(size * least / (2 - least)), F.floor(size * (2 - least) / least)
-    lost = lambda other: size - F.ceil(least * (size + other) / 2 - 1e-9)
-    spoilt = lambda other: 2 * lost(other) + F.greatest(other - F.ceil(least * (size + other) / 2 - 1e-9), F.lit(0))
-    same = same.withColumn("n2", F.greatest(spoilt(low), spoilt(high), F.lit(0)) + 1).withColumn("n1", F.greatest(lost(low), lost(high), F.lit(0)) + 1)
-
-    def parts(n: int) -> DataFrame:
-        """The rarest runs of n letters of each name, repeated ones told apart."""
-        d = same.where(F.length("s") >= n) if n == 2 else same.where(F.col("n2") >= F.length("s") - 2)
-        d = d.select("k", "g", "s", F.col(f"n{n}").alias("most"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") - (n - 1)), lambda i: F.substring(F.col("s"), i, F.lit(n)))).alias("i", "x"))
-        d = d.withColumn("x", F.concat("x", F.lit("#"), F.row_number().over(W.partitionBy("k", "g", "x").orderBy("i")).cast("string")))
-        d = d.join(d.groupBy("x").agg(F.count("*").alias("f")), "x").withColumn("r", F.row_number().over(W.partitionBy("k", "g").orderBy("f", "x")))
-        return d.where("r <= most + 1").select("k", "g", "s", "x")
-
-    keep = cut(parts(2).unionByName(parts(1)))
-    a, b = keep.select("g", "x", F.col("k").alias("a"), F.col("s").alias("na")), keep.select("g", "x", F.col("k").alias("b"), F.col("s").alias("nb"))
-    near = a.join(b, ["g", "x"]).where("a < b").where(F.least(F.length("na"), F.length("nb")) >= F.greatest(F.length("na"), F.length("nb")) * (least / (2 - least)) - 1e-9)
-    near = near.select("a", "b", "na", "nb").distinct()
+    own = df.select(F.col(key).alias("k"), F.lower(F.col(name)).alias("s"), (F.col(within).cast("string") if within else F.lit("")).alias("g")).where("s is not null and k is not null and g is not null")
+    same = own.groupBy("s", "g").agg(F.min("k").alias("k")).where("length(s) > 0").withColumn("n", F.length("s"))  # equal names are compared once
+    kind = dict(df.dtypes)[key]
+    rows = cut_table(numbered(same, ["g", "n", "s"], "no"))
+    size = min(CHUNK[1], max(CHUNK[0], rows.count() // 24))
+    rows = rows.withColumn("c", F.floor((F.col("no") - 1) / size))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("no")
+        g, n = pdf["g"].to_numpy(), pdf["n"].to_numpy()
+        at = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (g[1:] != g[:-1])])
+        runs = [(g[i], int(n[i]), int(i), int(j)) for i, j in zip(at, [*at[1:], len(g)])]
+        return pd.DataFrame({"c": pdf["c"].iloc[:1], "chunk": [pickle.dumps((pdf["k"].to_numpy(), list(pdf["s"]), _signatures(list(pdf["s"])), runs))]})
+
+    chunks = cut_table(rows.groupBy("c").applyInPandas(pack, "c long, chunk binary"))
+    ends = cut_table(rows.groupBy("c").agg(F.min(F.struct("g", "n")).alias("first"), F.max(F.struct("g", "n")).alias("last")))
+    x, y = ends.select(F.col("c").alias("ca"), F.col("last.g").alias("g"), F.col("last.n").alias("na")), ends.select(F.col("c").alias("cb"), F.col("first.g").alias("g"), F.col("first.n").alias("nb"))
+    meet = x.join(y, "g").where("ca < cb").where(F.col("na") * (2 - least) >= F.col("nb") * least - 1e-9).select("ca", "cb").unionByName(ends.select(F.col("c").alias("ca"), F.col("c").alias("cb")))
+    meet = cut_table(meet)  # a pair of numbers for each two chunks
+    sent = chunks.join(meet, F.col("c") == F.col("ca")).unionByName(chunks.join(meet.where("ca < cb"), F.col("c") == F.col("cb")))
+    spark = df.sparkSession
+    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = None
         for pdf in batches:
-            r = [ratio(x, y) for x, y in zip(pdf["na"], pdf["nb"])]
-            out = pdf.assign(ratio=np.array(r, dtype=float))
-            yield out[out["ratio"] >= least - 1e-12]
-
-    kind = dict(df.dtypes)[key]
-    return near.mapInPandas(compare, f"a {kind}, b {kind}, na string, nb string, ratio double")
+            for ca, cb, c, chunk in zip(pdf["ca"], pdf["cb"], pdf["c"], pdf["chunk"]):
+                chunk = pickle.loads(chunk)
+                if c == ca:
+                    first = chunk
+                    if ca < cb:
+                        continue
+                u, v = first, chunk if ca < cb else None
+                held: list = []
+                for near in _near(u, v, least):
+                    held.append(near)
+                    if sum(len(p) for p, _ in held) > 50_000:
+                        yield judge(u, v or u, held)
+                        held = []
+                if held:
+                    yield judge(u, v or u, held)
+
+    def judge(u: tuple, v: tuple, held: list) -> pd.DataFrame:
+        p, q = (np.concatenate(t) for t in zip(*held))
+        a, b, na, nb = u[0][p], v[0][q], np.array(u[1], dtype=object)[p], np.array(v[1], dtype=object)[q]
+        turn = a > b
+        a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+        out = pd.DataFrame({"a": a, "b": b, "na": na, "nb": nb})
+        out["ratio"] = 2.0 * matched(list(na), list(nb)) / (out["na"].str.len() + out["nb"].str.len())
+        return out[out["ratio"] >= least - 1e-12]
+
+    dealt = sent.repartition(tasks, "ca", "cb").sortWithinPartitions("ca", "cb", "c")
+    return dealt.select("ca", "cb", "c", "chunk").mapInPandas(compare, f"a {kind}, b {kind}, na string, nb string, ratio double")
 
 
 def greedy_keep(items: DataFrame, pairs: DataFrame) -> DataFrame:
