@@ -235,19 +235,20 @@ def similar_pairs(df: DataFrame, key: str, name: str, least: float = 0.85, withi
 def greedy_keep(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """Items (key, rank) with kept: in rank order each is kept unless one kept before is similar (pairs a, b).
 
-    Instead of one after another: an item with no undecided similar item before it is decided in this round; rounds end when all are.
+    Instead of one after another: an item with no open similar item before it is kept, those similar to it are dropped, and the pairs of both are done with; rounds end when no pair is left.
     """
     arcs = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("other")), F.struct(F.col("b").alias("key"), F.col("a").alias("other")))).alias("x")).select("x.*")
     rank = items.select("key", "rank")
-    before = cut(arcs.join(rank, "key").join(rank.select(F.col("key").alias("other"), F.col("rank").alias("r2")), "other").where("r2 < rank").select("key", "other"))
-    known = cut(rank.join(before, "key", "left_anti").select("key", F.lit(True).alias("kept")))
-    while True:
-        open_ = rank.join(known, "key", "left_anti").select("key")
-        state = before.join(open_, "key", "left_semi").join(known.select(F.col("key").alias("other"), "kept"), "other", "left")
-        ready = cut(state.groupBy("key").agg(F.max(F.coalesce(F.col("kept"), F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("wait")).where("hit or not wait").select("key", (~F.col("hit")).alias("kept")))
-        if ready.isEmpty():
-            return items.join(known, "key")
-        known = cut(known.unionByName(ready))
+    before = cut_table(arcs.join(rank, "key").join(rank.select(F.col("key").alias("other"), F.col("rank").alias("r2")), "other").where("r2 < rank").select("key", "other"))
+    dropped = None
+    while not before.isEmpty():
+        waits = before.select(F.col("key").alias("other")).distinct()
+        hit = cut_table(before.join(waits, "other", "left_anti").select("key").distinct())
+        before = cut_table(before.join(hit, "key", "left_anti").join(hit.withColumnRenamed("key", "other"), "other", "left_anti").select("key", "other"))
+        dropped = hit if dropped is None else dropped.unionByName(hit)
+    if dropped is None:
+        return items.withColumn("kept", F.lit(True))
+    return items.join(dropped.withColumn("_out", F.lit(True)), "key", "left").withColumn("kept", F.col("_out").isNull()).drop("_out")
 
 
 def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
@@ -395,7 +396,7 @@ def seed_clusters(df: DataFrame, key: str, name: str, group: str, least: float =
     own = df.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(group).alias("g")).where("key is not null and name is not null and g is not null")
     low = own.select("key", "name", "g", F.lower("name").alias("s"))
     first = low.groupBy("s", "g").agg(F.min("key").alias("head"))  # similar_pairs() compares equal names once, by the smallest key
-    pairs = cut(similar_pairs(own, "key", "name", least, within="g").select("a", "b"))
+    pairs = cut_table(similar_pairs(own, "key", "name", least, within="g").select("a", "b"))
     heads = first.select(F.col("head").alias("key"), F.col("head").alias("rank"))
     kept = greedy_keep(heads, pairs).select("key", "kept")
     seeds = kept.where("kept").select("key")

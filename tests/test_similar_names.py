@@ -45,3 +45,19 @@ def test_nothing_is_laid_out_but_pairs(spark):
     before = size()
     resolve.similar_pairs(names, "id", "s").collect()
     assert size() - before < 200_000
+
+
+def written(spark, work):
+    """Bytes that work() leaves in the folder for cut lineage."""
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    work()
+    return size() - before
+
+
+def test_pairs_that_are_done_with_are_not_written_again(spark):
+    items = spark.range(300).select(F.col("id").alias("key"), F.col("id").alias("rank"))
+    pairs = items.select(F.col("key").alias("a")).crossJoin(items.select(F.col("key").alias("b"))).where("a < b")
+    assert written(spark, lambda: resolve.greedy_keep(items, pairs).collect()) < 400_000
+    assert [r.key for r in resolve.greedy_keep(items, pairs).where("kept").collect()] == [0]
