@@ -61,3 +61,8 @@ def test_pairs_that_are_done_with_are_not_written_again(spark):
     pairs = items.select(F.col("key").alias("a")).crossJoin(items.select(F.col("key").alias("b"))).where("a < b")
     assert written(spark, lambda: resolve.greedy_keep(items, pairs).collect()) < 400_000
     assert [r.key for r in resolve.greedy_keep(items, pairs).where("kept").collect()] == [0]
+
+
+def test_seeds_write_little(spark):
+    names = spark.range(600).select("id", F.concat(F.lit("plot "), F.substring(F.sha1(F.col("id").cast("string")), 1, 8), F.lit(" resin sample")).alias("s"), F.lit("g").alias("g"))
+    assert written(spark, lambda: resolve.seed_clusters(names, "id", "s", "g").collect()) < 400_000
