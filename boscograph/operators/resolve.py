@@ -362,17 +362,22 @@ def merge_candidates(concepts: DataFrame, least: float = 0.85, synonyms: dict =
 
 
 def merge_mapping(candidates: DataFrame, least: float = 0.95) -> DataFrame:
-    """name, canonical from the accepted candidates: each dropped name goes to what it was merged into first (highest confidence, then name), chains to their end."""
+    """name, canonical from the accepted candidates: each dropped name goes to what it was merged into first (highest confidence, then name), chains to their
+    end; names merged into each other in a circle go to the smallest of the circle, which stays."""
     drop = F.when(F.col("keep") == F.col("entity2"), F.col("entity1")).otherwise(F.col("entity2"))
     m = candidates.where(F.col("confidence") >= least).select(drop.alias("name"), F.col("keep").alias("canonical"), "confidence").where("name <> canonical")
-    m = cut(m.groupBy("name").agg(F.min_by("canonical", F.struct(-F.col("confidence"), "canonical")).alias("canonical")))
-    for _ in range(32):  # each step doubles the length of chain followed
-        up = m.select(F.col("name").alias("canonical"), F.col("canonical").alias("next"))
-        nxt = cut(m.join(up, "canonical", "left").select("name", F.when(F.col("next").isNull() | (F.col("next") == F.col("name")), F.col("canonical")).otherwise(F.col("next")).alias("canonical"), (F.col("next").isNotNull() & (F.col("next") != F.col("name"))).alias("m")))
-        m = nxt.select("name", "canonical")
-        if nxt.where("m").isEmpty():
+    m = cut_table(m.groupBy("name").agg(F.min_by("canonical", F.struct(-F.col("confidence"), "canonical")).alias("canonical")).withColumn("low", F.col("name")))
+    up = lambda: m.select(F.col("name").alias("canonical"), F.col("canonical").alias("next"), F.col("low").alias("low2"))
+    steps = 1  # each round doubles the length of chain followed; low is the smallest name on it
+    while True:
+        on = F.col("next").isNotNull()
+        m = cut_table(m.join(up(), "canonical", "left").select("name", F.coalesce("next", "canonical").alias("canonical"), F.least("low", "low2").alias("low"), on.alias("moved")))
+        open_ = m.where("moved").count()
+        if open_ <= steps:  # a chain without end of more steps would have left more of its names open, so those that still move go round in circles
             break
-    return m
+        steps *= 2
+    end = m.join(up(), "canonical", "left").select("name", F.when(F.col("next").isNotNull(), F.col("low2")).otherwise(F.col("canonical")).alias("canonical"))
+    return end.where("name <> canonical")
 
 
 def nearest_entity(text: Column, pronoun: str, entities: Column, default: str, window: int = 200) -> Column:
