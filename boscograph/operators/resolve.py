@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -251,32 +251,24 @@ def greedy_keep(items: DataFrame, pairs: DataFrame) -> DataFrame:
     return items.join(dropped.withColumn("_out", F.lit(True)), "key", "left").withColumn("kept", F.col("_out").isNull()).drop("_out")
 
 
-def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster number of each row: average linkage by chains of nearest neighbours, merges up to threshold."""
-    n = len(distance)
-    if n < 2:
-        return np.zeros(n, dtype=int)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, alive, parent, chain = np.ones(n), np.ones(n, dtype=bool), np.arange(n), []
+def _chains(n: int, row: Callable[[int], np.ndarray], join: Callable[[int, int], None], threshold: float) -> np.ndarray:
+    """Cluster number of each row by chains of nearest neighbours, merges up to threshold. row(i): distances of cluster i from all, infinite from itself and merged ones; join(i, j) puts j into i."""
+    alive, parent, chain = np.ones(n, dtype=bool), np.arange(n), []
     merges = []
     for _ in range(n - 1):
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
         while True:
             i = chain[-1]
-            j = int(np.argmin(d[i]))
-            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            d = row(i)
+            j = int(np.argmin(d))
+            if len(chain) > 1 and d[chain[-2]] <= d[j]:
                 j = chain[-2]
                 break
             chain.append(j)
         chain = chain[:-2]
-        merges.append((d[i, j], i, j))
-        new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
+        merges.append((d[j], i, j))
+        join(i, j)
         alive[j] = False
 
     def root(x: int) -> int:
@@ -289,35 +281,112 @@ def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
         if v <= threshold:
             a, b = root(i), root(j)
             parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(n)])
+    return np.array([root(i) for i in range(n)], dtype=int)
+
+
+def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
+    """Cluster number of each row: average linkage by chains of nearest neighbours, merges up to threshold."""
+    d, size = distance.astype(float).copy(), np.ones(len(distance))
+    np.fill_diagonal(d, np.inf)
+
+    def join(i: int, j: int) -> None:
+        new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = new, new
+        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+
+    return _chains(len(d), lambda i: d[i], join, threshold)
+
+
+def _far(x: np.ndarray, y: np.ndarray, cosine: bool) -> np.ndarray:
+    """Distances of rows: 1 - product of unit vectors, or Euclidean."""
+    p = x @ y.T
+    return 1 - p if cosine else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * p, 0))
+
+
+#: Rows up to which linked vectors get a matrix of their distances, and vectors compared with all others at a time.
+DENSE, STRIP = 2000, 512
+
+
+def linkage_of(x: np.ndarray, threshold: float, cosine: bool) -> np.ndarray:
+    """As average_linkage() of the distances of all rows, which are never held at once.
+
+    Clusters merge up to the threshold only if some two of their rows are that near, so each set of rows linked by such pairs is clustered on its own. In a
+    large set, the mean cosine between clusters is the product of their sums of unit vectors; Euclidean distances are computed again where they are needed.
+    """
+    n = len(x)
+    label = np.arange(n)
+    for i in range(0, n, STRIP):
+        a, b = np.nonzero(_far(x[i : i + STRIP], x[i:], cosine) <= threshold + 1e-9)
+        a, b = a + i, b + i
+        while True:
+            p, q = label[a], label[b]
+            if (p == q).all():
+                break
+            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+            while (label[label] != label).any():
+                label = label[label]
+    out = np.arange(n)
+    order = np.argsort(label, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        if len(rows) > 1:
+            y = x[rows]
+            out[rows] = rows[average_linkage(_far(y, y, cosine), threshold) if len(rows) <= DENSE else _wide_linkage(y, threshold, cosine)]
+    return out
+
+
+def _wide_linkage(x: np.ndarray, threshold: float, cosine: bool) -> np.ndarray:
+    n = len(x)
+    total, size, of = x.copy(), np.ones(n), np.arange(n)
+
+    def row(i: int) -> np.ndarray:
+        if cosine:
+            d = 1 - (total @ total[i]) / np.maximum(size * size[i], 1)
+        else:
+            own, d = np.flatnonzero(of == i), np.zeros(n)
+            for k in range(0, len(own), STRIP):
+                d += np.bincount(of, _far(x[own[k : k + STRIP]], x, False).sum(0), n)
+            d /= np.maximum(size * size[i], 1)
+        d[size == 0] = np.inf
+        d[i] = np.inf
+        return d
+
+    def join(i: int, j: int) -> None:
+        total[i] += total[j]
+        size[i] += size[j]
+        size[j] = 0
+        of[of == j] = i
+
+    return _chains(n, row, join, threshold)
 
 
-#: Rows that one block may have: its distances are a square matrix in one task. A larger block is an error, never a sample.
-MOST_IN_BLOCK = 8000
+#: Rows that one block may have; None: any number. A larger block is an error, never a sample.
+MOST_IN_BLOCK: int | None = None
 
 
 def cluster(df: DataFrame, key: str, vector: str, block: str, similarity: float = 0.85, metric: str = "cosine") -> DataFrame:
     """key, block, cluster (smallest key in it): average-linkage clusters of the vectors of each block, cut at 1 - similarity.
 
-    metric 'cosine' takes distances 1 - cosine; 'rowwise_euclidean' takes Euclidean distances between the rows of that matrix.
+    metric 'cosine' takes distances 1 - cosine; 'rowwise_euclidean' takes Euclidean distances between the rows of that matrix. A block is one task, whose
+    memory grows with its rows and whose time grows with their square.
     """
     if metric not in ("cosine", "rowwise_euclidean"):
         raise ValueError(metric)
     rows = df.select(F.col(key).alias("k"), F.col(block).alias("g"), F.col(vector).alias("v")).where("k is not null and v is not null")
-    big = rows.groupBy("g").agg(F.count("*").alias("n")).where(f"n > {MOST_IN_BLOCK}").orderBy("g").limit(1).collect()
+    big = rows.groupBy("g").agg(F.count("*").alias("n")).where(f"n > {MOST_IN_BLOCK}").orderBy("g").limit(1).collect() if MOST_IN_BLOCK is not None else []
     if big:
         raise ValueError(f"block {big[0]['g']} has {big[0]['n']} rows; at most {MOST_IN_BLOCK} can be clustered")
     kinds = dict(df.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k", kind="stable")
-        x = np.array(pdf["v"].tolist(), dtype=float)
+        x = np.stack(pdf["v"].to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        d = 1 - x @ x.T
-        if metric == "rowwise_euclidean":
-            s = (d * d).sum(1)
-            d = np.sqrt(np.maximum(s[:, None] + s[None, :] - 2 * d @ d.T, 0))
-        label = average_linkage(d, 1 - similarity)
+        if metric == "rowwise_euclidean":  # two rows of that matrix differ by x'(a - b), so by the length of a - b under x'x
+            w, u = np.linalg.eigh(x.T @ x)
+            x = x @ (u * np.sqrt(np.maximum(w, 0)))
+        label = linkage_of(x, 1 - similarity, metric == "cosine")
         return pd.DataFrame({"k": pdf["k"], "g": pdf["g"], "c": pdf["k"].to_numpy()[label]})
 
     out = rows.groupBy("g").applyInPandas(one, f"k {kinds[key]}, g {kinds[block]}, c {kinds[key]}")
