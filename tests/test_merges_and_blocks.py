@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from boscograph import catalogue
 from boscograph.operators import resolve
 
 
@@ -46,3 +47,12 @@ def test_rows_of_the_matrix(spark):
     df = spark.createDataFrame([(i, "g", v) for i, v in enumerate(x.tolist())], "k int, g string, v array<double>")
     got = resolve.cluster(df, "k", "v", "g", -0.5, "rowwise_euclidean").orderBy("k").toPandas()["cluster"].tolist()
     assert got == resolve.average_linkage(d, 1.5).tolist() and len(set(got)) < 40
+
+
+def test_names_of_large_categories(spark, tmp_path):
+    n = 8100
+    x = np.random.default_rng(7).normal(size=(n, 64))
+    vectors = spark.createDataFrame([(i, f"name {i}", "host", v) for i, v in enumerate(x.tolist())], "vec_id long, entity string, category string, vector array<float>")
+    vectors.write.parquet(str(tmp_path / "concept_vectors.parquet"))
+    vectors.selectExpr("vec_id as concept_id", "entity", "3 as importance", "category", "'c' as chunk_id", "'t' as type", "vec_id as ord").write.parquet(str(tmp_path / "concepts.parquet"))
+    assert catalogue.QUERIES["kg_cluster_names"](spark, str(tmp_path)).count() == n
