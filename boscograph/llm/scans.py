@@ -30,8 +30,6 @@ STROKES = str.maketrans({
     **dict.fromkeys("g9", "g"), **dict.fromkeys("b68h", "b"), **dict.fromkeys("tf", "t"), **dict.fromkeys("z2", "z"),
 })
 
-#: The language model travels to the tasks: it holds the n-grams seen twice or more, but at most about so many of each kind, the most frequent ones.
-MOST_NGRAMS = 500_000
 #: Log probability of one misread letter, on average over the confusions; each one's own is estimated from the corpus.
 MISREAD = math.log(0.003)
 _LONGEST_WORD = 40
@@ -606,26 +604,16 @@ def repair(df: DataFrame, key: str, text: str) -> DataFrame:
     empty ones an empty text; null keys and repeated rows are treated like others.
 
     One pass counts the words, pairs of words, trigrams around confusable Chinese characters and short lines of all texts, with counts
-    combined in the task before the shuffle. N-grams seen once are left out of the model, and where a kind has over MOST_NGRAMS others, the rarest of them, so
-    that the model is bounded (a word left out is still checked, as one not seen before). The probability of each letter confusion is estimated by EM over the words that look like more frequent ones. A second pass finds page numbers by their form and sequence, headers by
+    combined in the task before the shuffle. The model holds every n-gram seen twice or more, in the driver and in
+    each task, so memory bounds the corpus (a word left out is still checked, as one seen once). The probability of each letter confusion is estimated by EM over the words that look like more frequent ones. A second pass finds page numbers by their form and sequence, headers by
     what stands beside page numbers anywhere in the corpus and repeats, cut words by whether the corpus knows the
     whole or the hyphenated word, and decodes doubtful words by Viterbi: letter confusions times word pairs. Texts are never cut.
     """
     kind = dict(df.dtypes)[key]
     counts = df.select(F.col(text).alias("t")).where("t <> ''").mapInPandas(_count, "kind string, a string, b string, n long")
     counts = cut_table(counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("n > 1"))
-    least: dict[str, int] = {}
-    held: Counter = Counter()
-    for r in sorted(counts.groupBy("kind", "n").agg(F.count("*").alias("c")).collect(), key=lambda r: -r["n"]):  # as many rows as there are different counts
-        held[r["kind"]] += r["c"]
-        if held[r["kind"]] <= MOST_NGRAMS or r["kind"] not in least:
-            least[r["kind"]] = r["n"]
-    kept = None
-    for k, n in least.items():
-        part = (F.col("kind") == k) & (F.col("n") >= n)
-        kept = part if kept is None else kept | part
-    rows = [tuple(r) for r in counts.where(kept).collect()] if kept is not None else []
-    shared = df.sparkSession.sparkContext.broadcast(Model(rows, least.get("1", 2)).parts())
+    rows = [tuple(r) for r in counts.collect()]
+    shared = df.sparkSession.sparkContext.broadcast(Model(rows, 2).parts())
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         do = Repair(Model.of(shared.value))
