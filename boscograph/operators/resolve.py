@@ -464,20 +464,122 @@ def replace_pronoun(text: Column, pronoun: str, entity: Column) -> Column:
     return F.regexp_replace(text, F.lit(rf"(?U)\b{pronoun}\b"), F.regexp_replace(F.coalesce(entity, F.lit(pronoun)), r"([\\$])", r"\\$1"))
 
 
+def _by_length(no: np.ndarray, names: np.ndarray, bits: np.ndarray) -> tuple:
+    """A chunk as _near() takes it, of names of one group."""
+    n = np.array([len(s) for s in names], dtype=np.int64)
+    order = np.argsort(n, kind="stable")
+    n = n[order]
+    at = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else []
+    return no[order], names[order], bits[order], [("", int(n[i]), int(i), int(j)) for i, j in zip(at, [*at[1:], len(n)])]
+
+
+def _alike(x: tuple, y: tuple | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers a < b of names in the chunks x and y (within x if y is None) that match by `least`, the name of the smaller number taken first."""
+
+    def judge() -> tuple[np.ndarray, np.ndarray]:
+        p, q = (np.concatenate(t) for t in zip(*held))
+        a, b, na, nb = x[0][p], (y or x)[0][q], x[1][p], (y or x)[1][q]
+        turn = a > b
+        a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+        both = np.array([len(s) + len(t) for s, t in zip(na, nb)])
+        ok = 2.0 * matched(list(na), list(nb)) / both >= least - 1e-12
+        return a[ok], b[ok]
+
+    held: list = []
+    for near in _near(x, y, least):
+        held.append(near)
+        if sum(len(p) for p, _ in held) > 50_000:
+            yield judge()
+            held = []
+    if held:
+        yield judge()
+
+
+def _seeds_of(names: np.ndarray, least: float) -> np.ndarray:
+    """Place of the seed of each name: the first seed before it that it matches, else its own. A few names at a time meet the seeds so far, then each other."""
+    bits, of, seeds = _signatures(list(names)), np.arange(len(names)), np.zeros(0, dtype=np.int64)
+    chunk = lambda at: _by_length(at, names[at], bits[at])
+    start, step = 0, 64
+    while start < len(names):
+        own = np.arange(start, min(start + step, len(names)))
+        for a, b in _alike(chunk(seeds), chunk(own), least):
+            np.minimum.at(of, b, a)
+        rest = own[of[own] == own]
+        before: dict[int, list[int]] = {}
+        for a, b in _alike(chunk(rest), None, least):
+            for i, j in zip(a.tolist(), b.tolist()):
+                before.setdefault(j, []).append(i)
+        for j in sorted(before):
+            of[j] = min((i for i in before[j] if of[i] == i), default=j)
+        seeds = np.r_[seeds, rest[of[rest] == rest]]
+        start, step = start + step, min(2 * step, 512)
+    return of
+
+
+#: Names of a group among which seeds are chosen in one task, in the first round and at most; names that look for a seed together.
+SEEDED, LOOKING = (4096, 32768), 4096
+
+
+def _seeds(rows: DataFrame, least: float) -> DataFrame:
+    """no, seed for rows (no, g, s): the number of the first seed that a name matches, by number within a group.
+
+    In each round one task chooses the seeds among the first names of a group; the other names of the group, which all come later, look for the first of these seeds that
+    they match, in chunks; those that find none go on to the next round. So names are compared with seeds, and nothing is laid out but a row a name.
+    """
+    spark = rows.sparkSession
+    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("no")
+        of = _seeds_of(pdf["s"].to_numpy(dtype=object), least)
+        no = pdf["no"].to_numpy()
+        return pd.DataFrame({"g": pdf["g"], "no": no, "seed": no[of], "s": pdf["s"].where(of == np.arange(len(of)), None)})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pdf["s"].to_numpy(dtype=object)
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "names": [pickle.dumps((pdf["no"].to_numpy(), list(names)))]})
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def chunk(packed: bytes) -> tuple:
+            no, names = pickle.loads(packed)
+            return _by_length(no, np.array(names, dtype=object), _signatures(names))
+
+        for pdf in batches:
+            for g, names, seeds in zip(pdf["g"], pdf["names"], pdf["seeds"]):
+                x, y = chunk(seeds), chunk(names)
+                order = np.argsort(y[0])
+                no, s = y[0][order], y[1][order]
+                found = no.copy()
+                for a, b in _alike(x, y, least):
+                    np.minimum.at(found, np.searchsorted(no, b), a)
+                none = pd.Series(found == no)
+                yield pd.DataFrame({"g": g, "no": no, "seed": pd.Series(found, dtype="Int64").mask(none), "s": pd.Series(s, dtype=object).where(none, None)})
+
+    left, out, most = rows.select("g", "no", "s"), None, SEEDED[0]
+    while True:
+        first = left.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy("no"))).where(F.col("r") <= most).select("g", "no", "s")
+        chosen = cut_table(first.groupBy("g").applyInPandas(choose, "g string, no long, seed long, s string"))
+        done = chosen.select("no", "seed")
+        later = left.join(chosen.groupBy("g").agg(F.max("no").alias("last")), "g").where("no > last").select("g", "no", "s")
+        seeds = chosen.where("s is not null").select("g", "no", "s").groupBy("g").applyInPandas(pack, "g string, names binary").withColumnRenamed("names", "seeds")
+        names = later.withColumn("c", F.floor(F.col("no") / LOOKING)).groupBy("g", "c").applyInPandas(pack, "g string, names binary")
+        met = names.join(seeds, "g").repartition(tasks).select("g", "names", "seeds")
+        looked = cut_table(met.mapInPandas(look, "g string, no long, seed long, s string"))
+        done = done.unionByName(looked.where("seed is not null").select("no", "seed"))
+        out = done if out is None else out.unionByName(done)
+        left, most = looked.where("seed is null").select("g", "no", "s"), min(2 * most, SEEDED[1])
+        if left.isEmpty():
+            return out
+
+
 def seed_clusters(df: DataFrame, key: str, name: str, group: str, least: float = 0.85) -> DataFrame:
     """key, seed, representative: in key order within a group, a name similar to no earlier seed is a seed; others join their first similar seed. The
     shortest name of a cluster (the first of ties) represents it."""
-    own = df.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(group).alias("g")).where("key is not null and name is not null and g is not null")
-    low = own.select("key", "name", "g", F.lower("name").alias("s"))
-    first = low.groupBy("s", "g").agg(F.min("key").alias("head"))  # similar_pairs() compares equal names once, by the smallest key
-    pairs = cut_table(similar_pairs(own, "key", "name", least, within="g").select("a", "b"))
-    heads = first.select(F.col("head").alias("key"), F.col("head").alias("rank"))
-    kept = greedy_keep(heads, pairs).select("key", "kept")
-    seeds = kept.where("kept").select("key")
-    link = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("seed")), F.struct(F.col("b").alias("key"), F.col("a").alias("seed")))).alias("x")).select("x.*")
-    joins = link.join(seeds.withColumnRenamed("key", "seed"), "seed").where("seed < key").join(seeds, "key", "left_anti").groupBy("key").agg(F.min("seed").alias("seed"))
-    at = seeds.select("key", F.col("key").alias("seed")).unionByName(joins)
-    member = low.join(first, ["s", "g"]).join(at.select(F.col("key").alias("head"), "seed"), "head")
+    own = df.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(group).cast("string").alias("g")).where("key is not null and name is not null and g is not null")
+    low = cut_table(own.select("key", "name", "g", F.lower("name").alias("s")))
+    first = cut_table(numbered(low.groupBy("s", "g").agg(F.min("key").alias("head")), ["g", "head"], "no"))  # equal names are compared once, by the smallest key
+    at = _seeds(first, least).join(first.select("no", "s", "g"), "no").join(first.select(F.col("no").alias("seed"), F.col("head").alias("_seed")), "seed")
+    member = low.join(at.select("s", "g", F.col("_seed").alias("seed")), ["s", "g"])
     best = member.groupBy("seed").agg(F.min_by("name", F.struct(F.length("name"), "key")).alias("representative"))
     return member.join(best, "seed").select(F.col("key").alias(key), "seed", "representative")
 

@@ -66,3 +66,24 @@ def test_pairs_that_are_done_with_are_not_written_again(spark):
 def test_seeds_write_little(spark):
     names = spark.range(600).select("id", F.concat(F.lit("plot "), F.substring(F.sha1(F.col("id").cast("string")), 1, 8), F.lit(" resin sample")).alias("s"), F.lit("g").alias("g"))
     assert written(spark, lambda: resolve.seed_clusters(names, "id", "s", "g").collect()) < 400_000
+
+
+def test_seeds_in_rounds_equal_one_after_another(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "SEEDED", (5, 20))
+    monkeypatch.setattr(resolve, "LOOKING", 4)
+    rng = random.Random(9)
+    names = [(i, w, rng.choice("gh")) for i, w in enumerate(["", *words(rng, "abc", 9, 90)])]
+    true, seeds = {}, []
+    for i, w, g in names:
+        true[i] = next((j for j, v, h in seeds if h == g and (v == w or resolve.ratio(v, w) >= 0.8)), i)
+        if true[i] == i:
+            seeds.append((i, w, g))
+    rng.shuffle(names)
+    got = {r.k: r.seed for r in resolve.seed_clusters(spark.createDataFrame(names, "k int, s string, g string"), "k", "s", "g", 0.8).collect()}
+    assert got == true and len(seeds) > 25
+
+
+def test_seeds_lay_out_no_pairs(spark):
+    names = lambda n: spark.range(n).select("id", F.concat(F.lit("plot "), F.substring(F.sha1(F.col("id").cast("string")), 1, 4), F.lit(" resin sample")).alias("s"), F.lit("g").alias("g"))
+    few, many = (written(spark, lambda: resolve.seed_clusters(names(n), "id", "s", "g", 0.8).collect()) for n in (500, 2000))
+    assert many < 6 * few
